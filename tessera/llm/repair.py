@@ -39,7 +39,7 @@ SHARDS = "part int, shard int, part_start long, doc_ids array<long>, doc_tokens
 
 def compress(ids: np.ndarray, rounds: tuple[float, ...] = ROUNDS) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules [n, 2], expansion lengths [n], symbols) of one shard."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype("<u4")
     base = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
     lengths = np.empty(0, dtype=np.int64)
@@ -48,17 +48,20 @@ def compress(ids: np.ndarray, rounds: tuple[float, ...] = ROUNDS) -> tuple[int,
         if len(seq) < 4:
             break
         least = max(4, int(share * len(seq)))
-        left, right = seq[:-1], seq[1:]
         # Buckets of a hash rule out most pairs before any is sorted.
-        bucket = ((left * 0x9E3779B1) ^ (right * 0x85EBCA6B)) & 0xFFFFF
-        at = np.flatnonzero(np.bincount(bucket, minlength=1 << 20)[bucket] >= least)
+        bucket = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(15)
+        at = np.flatnonzero((np.bincount(bucket, minlength=1 << 17) >= least)[bucket])
         if not len(at):
             continue
-        pairs, which, counts = np.unique((left[at] << 32) | right[at], return_inverse=True, return_counts=True)
-        hold = (counts >= least)[which]
-        at, which = at[hold], which[hold]
-        if not len(at):
+        keys = (seq[at].astype(np.int64) << 32) | seq[at + 1]
+        line = np.sort(keys)
+        begins = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        pairs = line[begins][np.diff(begins, append=len(line)) >= least]
+        if not len(pairs):
             continue
+        which = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        hold = pairs[which] == keys
+        at, which = at[hold], which[hold]
         rank = np.arange(len(at))
         first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, rank, 0))
         free = (rank - first) % 2 == 0

@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries a worker's cache holds before it starts anew; bounds its memory, not its results.
 CACHE_WORDS = 600_000
-#: Only these four are white space for the tokenizer and for this split alike; others stay in a word.
+#: White space for str.split() but not for the tokenizer; a text that holds one is split by _SPLIT alone.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPLIT = re.compile("[ \t\n\r]+")
-_CORE = re.compile("([A-Za-zÀ-ɏ]+)([.,;:!?|]*)")
+#: Letters whose lower case is a Latin-1 letter, then ASCII punctuation but for the apostrophe.
+_CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-þ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def byte_letters() -> list[str]:
@@ -42,7 +43,8 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = {chr(i): "".join(byte_letters()[b] for b in chr(i).encode()) for i in range(0x250)}
+        letters = byte_letters()
+        self.letters = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(0x80, 0x100)}
         # The short way to the model must agree with the tokenizer; for a file with another normalizer it is not taken.
         self.short = all(self._model_ids(w) == self._whole_ids(w) for w in ("the", "Été", "naïve", "Straße", "UPPER"))
 
@@ -53,20 +55,20 @@ class Encoder(dict):
         return cls._loaded[path]
 
     def _model_ids(self, word: str) -> list[int]:
-        mapped = "".join(map(self.letters.__getitem__, word.lower()))
-        return [t.id for t in self.model.tokenize(mapped)]
+        low = word.lower()
+        return [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))]
 
     def _whole_ids(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def __missing__(self, word: str) -> bytes:
         m = _CORE.fullmatch(word) if self.short else None
-        if m and m[1].isalpha() and (low := m[1].lower()).isalpha() and all(c < "ɐ" for c in low):
-            ids = np.array(self._model_ids(m[1]), dtype="<u4").tobytes()
+        if m:
+            ids = array("I", self._model_ids(m[1])).tobytes()
             if m[2]:
                 ids += self[m[2]]
         else:
-            ids = np.array(self._whole_ids(word), dtype="<u4").tobytes()
+            ids = array("I", self._whole_ids(word)).tobytes()
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = ids
@@ -76,8 +78,8 @@ class Encoder(dict):
         """Ids of a whole text; null: none."""
         if not text:
             return b""
-        words = _SPLIT.split(text)
-        return b"".join(map(self.__getitem__, words)) if words else b""
+        words = _SPLIT.split(text) if any(c in text for c in _ODD) else text.split()
+        return b"".join(map(self.__getitem__, words))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
