@@ -21,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pack_best_fit": packing.op10_pack_best_fit,
 }
 
+#: Models, fingerprints and tokenizers are not for SQL; tests/llm holds those queries against brute force.
 SQL: dict[str, str] = {}
