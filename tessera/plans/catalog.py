@@ -1,4 +1,300 @@
-"""Queries by name, each with the SQL it is checked against."""
+"""Queries by name over the driver's tables, each with the SQL it is checked against."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import binary, text, units
+from ..operators import metrics, models, split, submission
+from ..sources import assets
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its own name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+_F1 = """conf AS (SELECT t, p, count(*) AS n FROM y GROUP BY 1, 2),
+side AS (SELECT t AS label, n AS true_n, 0 AS pred_n, CASE WHEN t = p THEN n ELSE 0 END AS tp FROM conf UNION ALL SELECT p, 0, n, 0 FROM conf),
+cls AS (SELECT label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(true_n) AS BIGINT) AS true_n, CAST(sum(pred_n) AS BIGINT) AS pred_n FROM side GROUP BY 1),
+f AS (SELECT *, 2.0::DOUBLE * tp / (true_n + pred_n) AS f1 FROM cls)"""
+_ORDERS = "y AS (SELECT o_orderpriority AS t, CASE WHEN o_totalprice > 150000 THEN '1-URGENT' WHEN o_totalprice > 80000 THEN '3-MEDIUM' ELSE '5-LOW' END AS p FROM orders)"
+_UNITS = ", ".join(f"('{s}', '{u}')" for s, u in units.spellings().items())
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    return _table(spark, d, "orders").select(F.col("o_orderpriority").alias("y_true"), F.when(price > 150000, "1-URGENT").when(price > 80000, "3-MEDIUM").otherwise("5-LOW").alias("y_pred"))
+
+
+@query(f"""WITH y AS (SELECT CAST(l.quality AS VARCHAR) AS t, CASE WHEN d.n_chars > 500 THEN '1' ELSE '0' END AS p FROM documents d JOIN labels l USING (doc_id)), {_F1}
+SELECT round((SELECT avg(CASE WHEN lower(t) = lower(p) THEN 1.0::DOUBLE ELSE 0 END) FROM y), 6) AS exact_match, round(avg(f1), 6) AS f1_macro, round(2.0::DOUBLE * sum(tp) / (sum(true_n) + sum(pred_n)), 6) AS f1_micro,
+round(sum(f1 * true_n) / sum(true_n), 6) AS f1_weighted, round((SELECT 100 * avg(abs(p::DOUBLE - t::DOUBLE) / ((abs(t::DOUBLE) + abs(p::DOUBLE)) / 2 + 1e-8::DOUBLE)) FROM y), 6) AS smape, (SELECT count(*) FROM y) AS n_joined FROM f""")
+def evaluate_join(spark: SparkSession, d: str) -> DataFrame:
+    truth = _table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("prediction"))
+    pred = _table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") > 500, "1").otherwise("0").alias("prediction"))
+    return _rounded(metrics.evaluate(metrics.join_predictions(truth, pred, "doc_id")), "exact_match", "f1_macro", "f1_micro", "f1_weighted", "smape")
+
+
+@query(f"WITH {_ORDERS}, {_F1} SELECT label, tp, true_n, pred_n, round(f1, 6) AS f1 FROM f")
+def f1_per_class(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.f1_per_class(_orders(spark, d)), "f1")
+
+
+@query(f"WITH {_ORDERS}, {_F1} SELECT round(avg(f1), 6) AS f1_macro, round(2.0::DOUBLE * sum(tp) / (sum(true_n) + sum(pred_n)), 6) AS f1_micro, round(sum(f1 * true_n) / sum(true_n), 6) AS f1_weighted FROM f")
+def f1_macro_micro_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.f1_scores(_orders(spark, d)), "f1_macro", "f1_micro", "f1_weighted")
+
+
+@query("SELECT round(avg(CASE WHEN lower(trim(o_orderpriority)) = lower(trim(CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE '  ' || upper(o_orderpriority) || ' ' END)) THEN 1.0::DOUBLE ELSE 0 END), 6) AS exact_match FROM orders")
+def exact_match_case(spark: SparkSession, d: str) -> DataFrame:
+    y = _table(spark, d, "orders").select(F.col("o_orderpriority").alias("y_true"), F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise(F.concat(F.lit("  "), F.upper("o_orderpriority"), F.lit(" "))).alias("y_pred"))
+    return y.agg(F.round(metrics.exact_match(y), 6).alias("exact_match"))
+
+
+@query("SELECT round(100 * avg(abs(l_quantity * 1500 - l_extendedprice) / ((abs(l_extendedprice) + abs(l_quantity * 1500)) / 2 + 1e-8::DOUBLE)), 6) AS smape FROM lineitem")
+def smape_numeric(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "lineitem").agg(F.round(metrics.smape(F.col("l_extendedprice"), F.col("l_quantity") * 1500), 6).alias("smape"))
+
+
+@query("""WITH y AS (SELECT p_brand, CAST(p_size AS VARCHAR) AS t, CASE WHEN p_brand = 'Brand#11' AND p_partkey % 7 = 0 THEN '1d' ELSE ' 1_0 ' END AS p FROM part),
+v AS (SELECT p_brand, try_cast(t AS DOUBLE) AS t, CASE WHEN p = '1d' THEN NULL ELSE 10.0::DOUBLE END AS p FROM y)
+SELECT p_brand, CASE WHEN bool_and(t IS NOT NULL AND p IS NOT NULL) THEN round(100 * avg(abs(p - t) / ((abs(t) + abs(p)) / 2 + 1e-8::DOUBLE)), 6) END AS smape FROM v GROUP BY 1""")
+def smape_gate(spark: SparkSession, d: str) -> DataFrame:
+    y = _table(spark, d, "part").select("p_brand", F.col("p_size").cast("string").alias("y_true"), F.when((F.col("p_brand") == "Brand#11") & (F.col("p_partkey") % 7 == 0), "1d").otherwise(" 1_0 ").alias("y_pred"))
+    return y.groupBy("p_brand").agg(F.round(metrics.smape_gated(y), 6).alias("smape"))
+
+
+@query("SELECT doc_id, CAST(ntile(5) OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS INT) AS fold FROM documents")
+def kfold_plain(spark: SparkSession, d: str) -> DataFrame:
+    return split.kfold(_table(spark, d, "documents").select("doc_id"), id_col="doc_id")
+
+
+_STRAT = "SELECT doc_id, lang, CAST((row_number() OVER (ORDER BY lang, md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS INT) AS fold FROM documents"
+
+
+@query(_STRAT)
+def kfold_stratified(spark: SparkSession, d: str) -> DataFrame:
+    return split.stratified_kfold(_table(spark, d, "documents").select("doc_id", "lang"), "lang", id_col="doc_id")
+
+
+@query(f"SELECT lang, fold, count(*) AS n FROM ({_STRAT}) GROUP BY 1, 2")
+def fold_balance(spark: SparkSession, d: str) -> DataFrame:
+    return kfold_stratified(spark, d).groupBy("lang", "fold").agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE g AS (SELECT user_id AS "group", count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id) AS i FROM events GROUP BY 1),
+s AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, -1 AS fold UNION ALL
+SELECT s.i + 1, list_transform(s.load, lambda x, k: CASE WHEN k = list_position(s.load, list_min(s.load)) THEN x + g.n ELSE x END), CAST(list_position(s.load, list_min(s.load)) - 1 AS INT) FROM s JOIN g ON g.i = s.i + 1)
+SELECT g."group", g.n, CAST(s.fold AS INT) AS fold FROM g JOIN s USING (i)""")
+def kfold_group(spark: SparkSession, d: str) -> DataFrame:
+    return split.group_folds(_table(spark, d, "events"), "user_id")
+
+
+@query("""SELECT 'documents.lang' AS name, count(DISTINCT lang) < 0.5 * count(*) AS low FROM documents UNION ALL
+SELECT 'part.p_name', count(DISTINCT p_name) < 0.5 * count(*) FROM part UNION ALL SELECT 'orders.o_orderkey', count(DISTINCT o_orderkey) < 0.5 * count(*) FROM orders""")
+def target_cardinality_gate(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(f"{t}.{c}", bool(split.low_cardinality(_table(spark, d, t), c))) for t, c in (("documents", "lang"), ("part", "p_name"), ("orders", "o_orderkey"))]
+    return spark.createDataFrame(rows, "name string, low boolean")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")
+def sample_exact_n(spark: SparkSession, d: str) -> DataFrame:
+    return split.sample_exact(_table(spark, d, "orders").select("o_orderkey"), 100, id_col="o_orderkey")
+
+
+@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS c,
+(SELECT count(*) FROM documents) AS n FROM documents WHERE lang IS NOT NULL) WHERE rn <= round_even(c * least(1.0::DOUBLE, 100.0::DOUBLE / n), 0)""")
+def sample_stratified(spark: SparkSession, d: str) -> DataFrame:
+    return split.sample_stratified(_table(spark, d, "documents").select("doc_id", "lang"), "lang", 100, id_col="doc_id")
+
+
+def _golden_sql(table: str, key: str, train: int, val: int) -> str:
+    return f"""WITH s AS (SELECT {key}, count(*) OVER () AS n FROM {table}), pool AS (SELECT * FROM s ORDER BY md5('42:' || CAST({key} AS VARCHAR)), {key} LIMIT {train + val}),
+r AS (SELECT {key}, n, row_number() OVER (ORDER BY md5('43:' || CAST({key} AS VARCHAR)), {key}) AS rk FROM pool),
+z AS (SELECT *, CASE WHEN n >= {train + val} THEN {val} ELSE n - CAST(floor(n * {train}.0::DOUBLE / {train + val}) AS BIGINT) END AS v FROM r)
+SELECT {key}, CASE WHEN rk <= v THEN 'val' ELSE 'train' END AS split FROM z"""
+
+
+@query(_golden_sql("orders", "o_orderkey", 500, 100))
+def golden_split(spark: SparkSession, d: str) -> DataFrame:
+    return split.golden(_table(spark, d, "orders").select("o_orderkey"), train_size=500, val_size=100, id_col="o_orderkey")
+
+
+@query(_golden_sql("labels", "doc_id", 500000, 100000))
+def golden_downscale(spark: SparkSession, d: str) -> DataFrame:
+    return split.golden(_table(spark, d, "labels").select("doc_id"), train_size=500000, val_size=100000, id_col="doc_id")
+
+
+_RAW = "(['g', ' KG ', 'ml', 'fl oz', 'unknown_unit', 'INCHES', 'Liter'])[CAST(p_partkey % 7 AS INT) + 1]"
+_TITLE = f"CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE p_name || ' ' || CAST(p_size AS VARCHAR) || '.5 ' || {_RAW} || ' pack 2 cm' END"
+
+
+def _raw() -> F.Column:
+    return F.element_at(F.array(*map(F.lit, ["g", " KG ", "ml", "fl oz", "unknown_unit", "INCHES", "Liter"])), (F.col("p_partkey") % 7 + 1).cast("int"))
+
+
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    title = F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(".5 "), _raw(), F.lit(" pack 2 cm")))
+    return _table(spark, d, "part").select("p_partkey", "p_brand", title.alias("title"))
+
+
+@query(f"WITH u(s, c) AS (VALUES {_UNITS}), r AS (SELECT p_partkey, {_RAW} AS raw FROM part) SELECT p_partkey, raw, coalesce(c, lower(trim(raw))) AS unit FROM r LEFT JOIN u ON s = lower(trim(raw))")
+def normalize_unit(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select("p_partkey", _raw().alias("raw"), units.normalize_unit(_raw()).alias("unit"))
+
+
+_EXTRACT = rf"""u(s, c) AS (VALUES {_UNITS}), x AS (SELECT p_partkey, p_brand, {_TITLE} AS title FROM part),
+m AS (SELECT p_partkey, unnest(regexp_extract_all(title, '(\b\d+(?:\.\d+)?)\s*([a-zA-Z]+)(?:\s+([a-zA-Z]+))?', 1)) AS num, unnest(regexp_extract_all(title, '(\b\d+(?:\.\d+)?)\s*([a-zA-Z]+)(?:\s+([a-zA-Z]+))?', 2)) AS w1,
+unnest(regexp_extract_all(title, '(\b\d+(?:\.\d+)?)\s*([a-zA-Z]+)(?:\s+([a-zA-Z]+))?', 3)) AS w2, generate_subscripts(regexp_extract_all(title, '(\b\d+(?:\.\d+)?)\s*([a-zA-Z]+)(?:\s+([a-zA-Z]+))?', 1), 1) AS i FROM x),
+h AS (SELECT m.p_partkey, m.num || ' ' || coalesce(u2.c, u1.c) AS q, row_number() OVER (PARTITION BY m.p_partkey ORDER BY i) AS rn FROM m LEFT JOIN u u2 ON u2.s = lower(w1) || ' ' || lower(w2) LEFT JOIN u u1 ON u1.s = lower(w1) WHERE coalesce(u2.c, u1.c) IS NOT NULL),
+e AS (SELECT x.p_partkey, x.p_brand, h.q FROM x LEFT JOIN h ON h.p_partkey = x.p_partkey AND h.rn = 1)"""
+
+
+@query(f"WITH {_EXTRACT} SELECT p_partkey, q AS extracted FROM e")
+def extract_quantity(spark: SparkSession, d: str) -> DataFrame:
+    return _titles(spark, d).select("p_partkey", units.extract_quantity(F.col("title")).alias("extracted"))
+
+
+_MODE = "(SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 1)"
+
+
+@query(f"WITH {_EXTRACT} SELECT p_partkey, coalesce(q, {_MODE}) AS prediction FROM e")
+def rule_predict(spark: SparkSession, d: str) -> DataFrame:
+    df = _titles(spark, d)
+    return models.RulePredictor(text_cols=["title"]).fit(df, "p_brand").transform(df).select("p_partkey", "prediction")
+
+
+class _Given(models.Predictor):
+    """A member whose predictions are a column of the table."""
+
+    def __init__(self, name: str) -> None:
+        super().__init__(name)
+        self.is_fitted = True
+
+    def fit(self, df: DataFrame, target_col: str) -> _Given:
+        return self
+
+    def column(self, df: DataFrame):
+        return F.col(self.name)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", F.col(self.name))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'None' WHEN 2 THEN 'b' WHEN 3 THEN 'b' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE 'fallback' END END AS prediction FROM part""")
+def cascade_predict(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    df = _table(spark, d, "part").select("p_partkey", F.when(k == 0, " a ").when(k == 1, "None").when(k == 2, "  ").when(k == 3, "NaN").alias("first"), F.when((k != 4) | (F.col("p_partkey") % 2 == 0), "b").alias("second"))
+    return models.Cascade([_Given("first"), _Given("second")], fallback="fallback").transform(df).select("p_partkey", "prediction")
+
+
+_PRED = "CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'nAn' ELSE ' ' || o_orderpriority || ' ' END"
+
+
+def _preds(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 6
+    return _table(spark, d, "orders").select(F.col("o_orderkey").alias("index"), F.when(k == 0, None).when(k == 1, "  ").when(k == 2, "nAn").otherwise(F.concat(F.lit(" "), "o_orderpriority", F.lit(" "))).alias("prediction"))
+
+
+@query("""SELECT o_orderkey AS "index", CASE WHEN o_orderkey % 6 < 3 THEN 'none' ELSE trim(o_orderpriority) END AS prediction FROM orders""")
+def sanitize_predictions(spark: SparkSession, d: str) -> DataFrame:
+    return submission.format_submission(_preds(spark, d), fallback="none")
+
+
+@query(f"SELECT count(*) AS total_rows, CAST(sum(CASE WHEN p IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_count, CAST(sum(CASE WHEN trim(p) = '' THEN 1 ELSE 0 END) AS BIGINT) AS blank_count FROM (SELECT o_orderkey, {_PRED} AS p FROM orders)")
+def validate_nulls_blanks(spark: SparkSession, d: str) -> DataFrame:
+    df = _preds(spark, d)
+    return df.agg(F.count("*").alias("total_rows"), submission.null_cells(df).alias("null_count"), submission.blank_cells(F.col("prediction")).alias("blank_count"))
+
+
+_DIFF = "(SELECT count(*) FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL)"
+
+
+@query(f"SELECT {_DIFF} AS id_mismatches")
+def validate_id_symdiff(spark: SparkSession, d: str) -> DataFrame:
+    return submission.id_mismatches(_table(spark, d, "documents"), _table(spark, d, "labels"), "doc_id")
+
+
+@query(f"SELECT (SELECT count(*) FROM labels) AS total_rows, (SELECT count(*) FROM documents) AS expected_rows, (SELECT count(*) FROM labels WHERE doc_id IS NULL OR quality IS NULL) AS null_count, {_DIFF} AS id_mismatches")
+def validation_report(spark: SparkSession, d: str) -> DataFrame:
+    sub, ref = _table(spark, d, "labels").select("doc_id", "quality"), _table(spark, d, "documents")
+    one = F.lit(1).alias("_one")
+    a = sub.agg(F.count("*").alias("total_rows"), submission.null_cells(sub).alias("null_count")).select("*", one)
+    b = ref.agg(F.count("*").alias("expected_rows")).select("*", one)
+    c = submission.id_mismatches(sub, ref, "doc_id").select("*", one)
+    return a.join(b, "_one").join(c, "_one").select("total_rows", "expected_rows", "null_count", "id_mismatches")
+
+
+_URL = "CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN upper(url) WHEN 2 THEN 'httpfoo' WHEN 3 THEN '' ELSE url END"
+
+
+@query(f"SELECT page_id, CASE WHEN u IS NULL OR NOT starts_with(u, 'http') THEN 'invalid_url' END AS reason FROM (SELECT page_id, {_URL} AS u FROM pages)")
+def asset_url_classify(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 5
+    url = F.when(k == 0, None).when(k == 1, F.upper("url")).when(k == 2, "httpfoo").when(k == 3, "").otherwise(F.col("url"))
+    return _table(spark, d, "pages").select("page_id", assets.url_reason(url).alias("reason"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN octet_length(encode(html)) > 1024 ELSE false END AS valid FROM pages")
+def asset_signature(spark: SparkSession, d: str) -> DataFrame:
+    k, body = F.col("page_id") % 4, F.encode("html", "UTF-8")
+    data = F.when(k == 0, F.concat(F.unhex(F.lit("FFD8FF")), body)).when(k == 1, F.concat(F.unhex(F.lit("524946460000000057454250")), body)).when(k == 2, body).otherwise(F.unhex(F.lit("FFD8FF")))
+    return _table(spark, d, "pages").select("page_id", binary.is_valid_image(data).alias("valid"))
+
+
+@query("SELECT CAST(sum(CASE WHEN page_id % 3 < 2 THEN 1 ELSE 0 END) AS BIGINT) AS success, CAST(sum(CASE WHEN page_id % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skipped, CAST(sum(CASE WHEN page_id % 3 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM pages")
+def asset_tallies(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 3
+    return assets.tallies(_table(spark, d, "pages").select(F.col("url").alias("path"), (k < 2).alias("ok"), F.when(k == 1, "already_exists").when(k == 2, "http_status_404").alias("reason")))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50")
+def head_limit(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").orderBy("o_orderkey").limit(50).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT count(*) AS source_rows, CAST(least(count(*), 50) AS BIGINT) AS golden_train_rows, CAST(least(count(*), 10) AS BIGINT) AS golden_val_rows, 5 AS n_splits, 42 AS seed FROM documents")
+def split_metadata(spark: SparkSession, d: str) -> DataFrame:
+    df = _table(spark, d, "documents").select("doc_id")
+    picked = split.golden(df, train_size=50, val_size=10, id_col="doc_id").select("split")
+    n = df.select(F.lit(None).cast("string").alias("split"), F.lit(1).alias("source")).unionByName(picked.withColumn("source", F.lit(0)))
+    return n.agg(F.sum("source").alias("source_rows"), F.count_if(F.col("split") == "train").alias("golden_train_rows"), F.count_if(F.col("split") == "val").alias("golden_val_rows")).withColumns({"n_splits": F.lit(5), "seed": F.lit(42)})
+
+
+@query("SELECT page_id FROM pages WHERE NOT (page_id % 2 = 0 AND page_id * 10 > 100)")
+def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    pages = _table(spark, d, "pages").select("page_id")
+    return assets.remaining(pages, pages.where(F.col("page_id") % 2 == 0).withColumn("length", F.col("page_id") * 10), "page_id")
+
+
+@query("SELECT count(DISTINCT doc_id) AS shared_ids FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def id_intersection(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id").intersect(_table(spark, d, "labels").select("doc_id")).agg(F.count("*").alias("shared_ids"))
+
+
+@query("""SELECT p_partkey, try_cast(CASE p_partkey % 6 WHEN 0 THEN ' 12 ' WHEN 1 THEN '1000' WHEN 2 THEN NULL WHEN 3 THEN '1e3' WHEN 4 THEN NULL ELSE '-.5' END AS DOUBLE) AS value FROM part""")
+def parse_float(spark: SparkSession, d: str) -> DataFrame:
+    given = F.element_at(F.array(*map(F.lit, [" 12 ", "1_000", "1d", "1e3", "0x10", "-.5"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return _table(spark, d, "part").select("p_partkey", text.py_float(given).alias("value"))
