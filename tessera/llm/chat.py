@@ -57,7 +57,7 @@ def fold(events: DataFrame) -> DataFrame:
     after = lambda d: (F.col("base").isNull() | (d["seq"] > F.col("base.seq"))) & (F.col("dropped_at").isNull() | (d["seq"] > F.col("dropped_at")))
     kept = F.transform(F.filter("deltas", after), lambda d: d["text"])
     base = F.when(F.col("base.kind").isin("message", "edit") & (F.col("dropped_at").isNull() | (F.col("base.seq") > F.col("dropped_at"))), F.col("base.text")).otherwise(F.lit(""))
-    role = F.coalesce(F.when(F.col("message.role") != "", F.col("message.role")), F.filter(F.transform("deltas", lambda d: d["role"]), lambda r: r != "").getItem(0), F.lit(""))
+    role = F.coalesce(F.when(F.col("message.role") != "", F.col("message.role")), F.get(F.filter(F.transform("deltas", lambda d: d["role"]), lambda r: r != ""), F.lit(0)), F.lit(""))
     return alive.select("conv_id", "turn", F.col("first_seq").alias("seq"), role.alias("role"), F.concat(base, F.array_join(kept, "")).alias("text"))
 
 
