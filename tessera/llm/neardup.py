@@ -30,7 +30,7 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: Column, words: int = WORDS) -> Column:
-    """struct(node long, fp long, keys array<long>): hash of the words, SimHash, and a key for each band."""
+    """struct(fp long, keys array<long>): SimHash, and a key for each band."""
     import xxhash
 
     a, b = _coefficients()
@@ -38,20 +38,18 @@ def sketch(text: Column, words: int = WORDS) -> Column:
     def of(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
-            raw = t.as_py() or b""
-            votes = simhash.shingle_hashes(raw, words)
-            node = xxhash.xxh64_intdigest(b" ".join(raw.lower().split()), 1) - (1 << 63)
+            votes = simhash.shingle_hashes(t.as_py(), words)
             low = np.unique((votes ^ (votes >> np.uint64(32))).astype(np.uint32))
             least = np.full(len(a), 0xFFFFFFFF, dtype=np.uint32)
             for lo in range(0, len(low), 2048):
                 x = low[lo : lo + 2048, None] * a + b
                 least = np.minimum(least, (x ^ (x >> np.uint32(15))).min(axis=0))
             bands = least.reshape(BANDS, ROWS)
-            out.append({"node": node, "fp": simhash.fingerprint_of(votes), "keys": [int.from_bytes(xxhash.xxh64_digest(bands[i].tobytes(), i)[:8], "little", signed=True) for i in range(BANDS)] if len(low) else []})
-        return pa.array(out, pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+            out.append({"fp": simhash.fingerprint_of(votes), "keys": [int.from_bytes(xxhash.xxh64_digest(bands[i].tobytes(), i)[:8], "little", signed=True) for i in range(BANDS)] if len(low) else []})
+        return pa.array(out, pa.struct([("fp", pa.int64()), ("keys", pa.list_(pa.int64()))]))
 
     of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(of, "struct<node:long,fp:long,keys:array<long>>").asNondeterministic()(text.cast("binary"))
+    return F.arrow_udf(of, "struct<fp:long,keys:array<long>>").asNondeterministic()(text.cast("binary"))
 
 
 def similar(a: Column, b: Column, words: int = WORDS, least: float = SIMILARITY) -> Column:
@@ -75,30 +73,35 @@ def similar(a: Column, b: Column, words: int = WORDS, least: float = SIMILARITY)
 def keep_one_of_each_group(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs less near copies: of each group the row with the smallest doc_id stays, once.
 
-    A text without a word equals any other such text. Null doc_ids come after all others. All columns are returned.
+    A text without a word equals any other such text, null included. Null doc_ids come after all others. All columns are
+    returned. Texts are told apart by a 64-bit hash: among n texts about n * n / 2**65 pairs share one and count as equal.
     """
-    columns = docs.columns
-    keyed = common.materialize(docs.withColumn("_sketch", sketch(F.col("text"), words)), "sketches")
-    rows = keyed.select("doc_id", "_sketch.*")
+    # A node is a text, by its 64-bit hash. Only ids, hashes and keys are written; texts stay where docs has them.
+    node = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = common.materialize(docs.select("doc_id", node.alias("node"), sketch(F.col("text"), words).alias("s")).select("doc_id", "node", "s.*"), "sketches")
     nodes = common.materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
     pairs = common.materialize(_candidates(nodes), "pairs")
     # One text for each node that has a candidate, found by (doc_id, node): no copies of a frequent text meet in a task.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
-    texts = _at(keyed, wanted).dropDuplicates(["doc_id", "_node"]).select(F.col("_node").alias("node"), F.col("text").cast("string").alias("text"))
+    texts = _at(docs.select("doc_id", F.col("text").cast("string").alias("text")), wanted).select(F.col("_node").alias("node"), "text")
     texts = common.materialize(texts, "texts")
     left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     checked = pairs.join(left, "a").join(right, "b").select("a", "b", similar(F.col("text_a"), F.col("text_b"), words, least).alias("ok")).where("ok")
     roots = connected_components(checked.select("a", "b"))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), F.col("first"), F.col("node"))).alias("k")).select("k.first", "k.node")
-    return _at(keyed, kept).dropDuplicates(["doc_id", "_node"]).select(*(F.col(f"`{c}`") for c in columns))
+    return _at(docs, kept).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def _at(keyed: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows of keyed with the doc_id (first, may be null) and node of a row of places; adds _node."""
-    keyed = keyed.withColumn("_node", F.col("_sketch.node")).drop("_sketch")
-    places = places.select(F.col("first").alias("_first"), F.col("node").alias("_place"))
-    return keyed.join(places, keyed["doc_id"].eqNullSafe(places["_first"]) & (keyed["_node"] == places["_place"]), "left_semi")
+def _at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """One row of docs for each (first, node) of places, with that doc_id (null is a value) and text; adds _id and _node.
+
+    Join and removal of repeated rows share one exchange of docs.
+    """
+    as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    given = docs.withColumns({"_id": as_text("doc_id"), "_node": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    places = places.select(as_text("first").alias("_id"), F.col("node").alias("_node"))
+    return given.join(places, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
