@@ -12,19 +12,17 @@ from pyspark.sql import functions as F
 from tessera.llm import common, decontaminate, kneser_ney, neardup, packing, rule_ensemble
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kneser_ney.judged(docs).where("quality.kept").select(*_columns(docs))
+    # Whole rows ride along in one column, so no name of theirs can clash with the operator's.
+    rows = docs.select("text", "lang", F.struct("*").alias("_row"))
+    return kneser_ney.judged(rows).where("quality.kept").select("_row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows of all documents, rejected ones included; scores what came in."""
     learn_from = common.table(spark, sf_dir, "documents")
-    scored = rule_ensemble.scored(docs, common.table(spark, sf_dir, "labels"), learn_from)
-    return scored.where(F.col("quality_score") >= rule_ensemble.THRESHOLD).select(*_columns(docs))
+    scored = rule_ensemble.scored(docs.select("text", F.struct("*").alias("_row")), common.table(spark, sf_dir, "labels"), learn_from)
+    return scored.where(F.col("quality_score") >= rule_ensemble.THRESHOLD).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
