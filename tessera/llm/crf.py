@@ -23,6 +23,8 @@ from . import common
 from .sequences import Layout, backward, batches, forward, pairs
 
 PER_LANGUAGE = 300
+#: Parts of a language that are ranked apart before the whole.
+SALTS = 64
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, SLOTS = 1 << 16, 28
@@ -179,8 +181,11 @@ def train(texts: list[tuple[str, str]], epochs: int = 3, seed: int = 1, rate: fl
 
 def sample(docs: DataFrame, folds: int = 5, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """(lang, text) of at most per_language documents of each language, none whose crc32(doc_id) mod folds is 0."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang is not null and text is not null").where(common.fold(F.col("doc_id"), folds) != 0).select("lang", "doc_id").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language)
+    # Ranked inside salted parts of a language first, so the rank over a language reads SALTS * per_language rows at most.
+    order = F.xxhash64("doc_id"), "doc_id"
+    ids = docs.where("lang is not null and text is not null").where(common.fold(F.col("doc_id"), folds) != 0).select("lang", "doc_id", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(SALTS)).alias("_salt"))
+    for group in (["lang", "_salt"], ["lang"]):
+        ids = ids.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_n") <= per_language)
     chosen = ids.select("lang", "doc_id").distinct()
     rows = docs.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
     return [(r["lang"], r["text"]) for r in rows.orderBy("lang", "doc_id", "text").select("lang", "text").collect()]
