@@ -5,8 +5,12 @@ guarantees so many is the whole table. So candidates come from two sources: the
 minimum hashes. Every candidate pair is verified on the whole texts before it links.
 
 Bands: 126 minimum hashes in 21 bands of 6; a pair at 0.8 shares a band with probability 0.998, at 0.9 almost surely.
-Inside a band's bucket each text is a candidate with the first document of the bucket and with the one before it, so
-candidates are linear in the bucket.
+The texts of a SimHash component (links of 4 bits or fewer) are a bucket too, so each such pair meets in one.
+
+All pairs of a bucket count. First each text is verified against the first document of the bucket and the one before it,
+which joins up most groups in linear work. Then every bucket that still holds texts of two groups or more is verified
+whole: all its pairs that are not in one group yet, in pairs of blocks of about BLOCK texts, and only links that passed
+the verification join groups. So work is quadratic only in buckets that really mix groups.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from .components import connected_components
 
 BANDS, ROWS = 21, 6
 WORDS, SIMILARITY = 5, 0.8
+#: Texts in a block of a bucket; a task holds the shingles of two blocks. Results do not depend on it.
+BLOCK = 512
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +86,17 @@ def keep_one_of_each_group(docs: DataFrame, words: int = WORDS, least: float = S
     node = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = common.materialize(docs.select("doc_id", node.alias("node"), sketch(F.col("text"), words).alias("s")).select("doc_id", "node", "s.*"), "sketches")
     nodes = common.materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
-    pairs = common.materialize(_candidates(nodes), "pairs")
+    buckets = common.materialize(_buckets(nodes), "buckets")
+    pairs = common.materialize(_candidates(buckets), "pairs")
     # One text for each node that has a candidate, found by (doc_id, node): no copies of a frequent text meet in a task.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
     texts = _at(docs.select("doc_id", F.col("text").cast("string").alias("text")), wanted).select(F.col("_node").alias("node"), "text")
     texts = common.materialize(texts, "texts")
     left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     checked = pairs.join(left, "a").join(right, "b").select("a", "b", similar(F.col("text_a"), F.col("text_b"), words, least).alias("ok")).where("ok")
-    roots = connected_components(checked.select("a", "b"))
+    checked = common.materialize(checked.select("a", "b"), "checked")
+    rest = _rest(buckets, connected_components(checked), texts, words, least)
+    roots = connected_components(checked.unionByName(rest))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), F.col("first"), F.col("node"))).alias("k")).select("k.first", "k.node")
     return _at(docs, kept).select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -104,15 +113,69 @@ def _at(docs: DataFrame, places: DataFrame) -> DataFrame:
     return given.join(places, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes to verify."""
-    band = nodes.select("node", "first", F.explode("keys").alias("key"))
-    crowded = band.groupBy("key").count().where("count > 1").select("key")
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(key, node, first) of all buckets of two nodes or more: bands, and components of SimHash links."""
+    fps = nodes.select("fp").distinct()
+    roots = connected_components(simhash.linked(fps)).withColumnRenamed("node", "fp")
+    by_fp = nodes.join(roots, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "node", "first")
+    members = nodes.select(F.explode("keys").alias("key"), "node", "first").unionByName(by_fp)
+    crowded = members.groupBy("key").count().where("count > 1").select("key")
+    return members.join(crowded, "key")
+
+
+def _candidates(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes to verify first: each with the first of its bucket and with the one before it."""
     w = Window.partitionBy("key").orderBy(F.col("first").asc_nulls_last(), "node")
-    met = band.join(crowded, "key").select("node", F.first("node").over(w).alias("one"), F.lag("node").over(w).alias("two"))
-    by_band = met.select("node", F.explode(F.array("one", "two")).alias("other")).where("other is not null and node <> other")
-    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("other"))
-    links = simhash.linked(by_fp.select("fp"))
-    near = links.join(by_fp.select(F.col("fp").alias("a"), F.col("other").alias("node")), "a").join(by_fp.select(F.col("fp").alias("b"), "other"), "b").select("node", "other")
-    same = nodes.join(by_fp, "fp").where("node <> other").select("node", "other")
-    return by_band.unionByName(near).unionByName(same).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).where("a <> b").distinct()
+    met = buckets.select("node", F.first("node").over(w).alias("one"), F.lag("node").over(w).alias("two"))
+    pairs = met.select("node", F.explode(F.array("one", "two")).alias("other")).where("other is not null and node <> other")
+    return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
+def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (a, b) that connect the nodes of each bucket, given their roots, as all its similar pairs would."""
+    members = buckets.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    same = [F.count("*").alias("size"), *(F.bit_xor(F.xxhash64(F.lit(i), F.col("node"))).alias(f"x{i}") for i in range(2))]
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *same).where("lo <> hi")
+    # Buckets of the same nodes, told by size and two hashes, are verified once.
+    mixed = mixed.groupBy("size", "x0", "x1").agg(F.min("key").alias("key")).withColumn("n", F.ceil(F.col("size") / BLOCK)).select("key", "n")
+    # As in simhash.linked: every pair of blocks is a group, so any two nodes of the bucket meet in one.
+    placed = members.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    block = F.least("own", "other") * F.col("n") + F.greatest("own", "other")
+    placed = placed.select("key", block.alias("block"), "own", "node", "root").join(texts, "node")
+
+    def links(group: pa.Table) -> pa.Table:
+        own, node, root = (group.column(c).to_numpy() for c in ("own", "node", "root"))
+        found = _forest([np.unique(simhash.shingle_hashes((t.as_py() or "").encode(), words)) for t in group.column("text")], root, own, least)
+        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
+
+    links.__annotations__ = {"group": pa.Table, "return": pa.Table}
+    return placed.groupBy("key", "block").applyInArrow(links, "a long, b long")
+
+
+def _forest(sets: list[np.ndarray], root: np.ndarray, own: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the similar pairs over the groups told by root.
+
+    Two blocks (own): only pairs across them; pairs inside a block are those of its own group.
+    """
+    label, across = root.copy(), len(set(own.tolist())) > 1
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    out = []
+    for i in range(len(sets)):
+        open_ = label != label[i]
+        if across:
+            open_ &= own != own[i]
+        open_[: i + 1] = False
+        if not open_.any():
+            continue
+        mark = np.zeros(len(kinds), dtype=bool)
+        mark[flat[ends[i] - sizes[i] : ends[i]]] = True
+        sums = np.concatenate([[0], np.cumsum(mark[flat])])
+        both = sums[ends] - sums[ends - sizes]
+        for j in np.flatnonzero(open_ & (both >= least * (sizes + sizes[i] - both))).tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out

@@ -179,6 +179,27 @@ def test_near_duplicates_against_all_pairs(spark, docs, odd):
     assert sorted((r.doc_id is None, r.doc_id) for r in got.select("doc_id").collect()) == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 7), (True, None)]
 
 
+def test_near_duplicates_of_interleaved_template_families(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8, raising=False)
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(240)]
+    bodies = [[f"f{f}x{i}" for i in range(20)] for f in range(60)]
+    # Member m of family f has doc_id 60 * m + f, so that in each bucket the texts before one are of other families.
+    texts = []
+    for m in range(3):
+        for f in range(60):
+            words = template + bodies[f]
+            for at in (3, 7):
+                words[rng.randrange(at * 30, at * 30 + 30)] = f"own{m}x{f}x{at}"
+            texts.append(" ".join([*words, *(f"tail{m}x{f}x{i}" for i in range(8))]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = [(i, j) for i, j in combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert near and all(i % 60 == j % 60 for i, j in near)
+    roots = clusters(len(sets), near)
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOC)
+    assert sorted(r.doc_id for r in neardup.keep_one_of_each_group(rows).collect()) == [i for i, r in enumerate(roots) if r == i]
+
+
 def test_op3_held_out(spark, odd):
     got = rule_ensemble.op3_rule_ensemble_quality(spark, DATA).join(common.table(spark, DATA, "labels"), "doc_id").where("held_out").collect()
     right = [r.predicted == r.quality for r in got]
