@@ -360,6 +360,20 @@ def test_kneser_ney_sums_to_one_and_odd(spark, docs, odd):
     assert got.count() == odd.count() and kneser_ney.judged(odd.limit(0), keep=["doc_id"]).count() == 0
 
 
+def test_op9_bands_reject_junk(spark):
+    rng = np.random.default_rng(0)
+    clean, junk = rng.normal(0.7, 0.01, 300).tolist(), rng.normal(0.8, 0.005, 60).tolist()
+    rows = [("en", (60, v)) for v in clean + junk + [0.71] * 2000] + [("fr", (60, 0.5)), ("fr", (60, 0.9))]
+    measured = spark.createDataFrame(rows, "lang string, quality struct<n_words:long,log_perplexity:double>")
+    low, high = kneser_ney.bands(measured)
+    found = measured.select("lang", F.col("quality.log_perplexity").alias("v"), F.coalesce(F.col("quality.log_perplexity").between(low, high), F.lit(True)).alias("kept")).collect()
+    assert not any(r.kept for r in found if r.lang == "en" and r.v > 0.78)
+    assert sum(r.kept for r in found if r.lang == "en" and r.v < 0.75) >= 2295 and all(r.kept for r in found if r.lang == "fr")
+    judged = kneser_ney.op9_kneser_ney_quality(spark, DATA).join(common.table(spark, DATA, "labels"), "doc_id").where("not base_failed").collect()
+    share = {q: np.mean([r.kept for r in judged if r.quality == q]) for q in (0, 1)}
+    assert share[0] < 0.5 and share[1] > 0.95
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
