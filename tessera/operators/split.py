@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..sources.tables import read_table, write_csv
 from .ranking import global_rank, seeded_key
 
-#: Groups that are dealt greedily at most; beyond it the driver's list would grow with the data, and groups go by hash.
-MAX_GROUPS = 2_000_000
+#: Ranges of groups, about, within which groups of one size are ranked; results do not depend on it.
+RANGES = 200
 
 
 def _with_key(df: DataFrame, id_col: str | None, seed: int) -> tuple[DataFrame, list]:
@@ -46,21 +44,54 @@ def stratified_kfold(df: DataFrame, target_col: str, n_splits: int = 5, seed: in
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % n_splits).cast("int")).drop("_key", "_rank", "_class")
 
 
+def deal(sizes: list[tuple[int, int]], n_splits: int) -> list[tuple[int, int, int, list[int]]]:
+    """Runs (size, first, end, folds) of a greedy deal, from (size, number of groups), largest size first.
+
+    The r-th group of a size, first <= r < end, goes to folds[(r - first) % len(folds)]. Equal groups fill the folds that
+    are lighter than the lightest with one group more, in turn, until that reaches the next fold: so a size has at most
+    n_splits runs.
+    """
+    loads, runs = [0] * n_splits, []
+    for size, count in sizes:
+        done = 0
+        while done < count:
+            order = sorted((load, k) for k, load in enumerate(loads))
+            least, k = order[0]
+            folds = [j for load, j in order if (load, j) < (least + size, k)]
+            n = count - done
+            if len(folds) < n_splits:
+                load, j = order[len(folds)]
+                rounds, rest = divmod(load - least, size)
+                n = min(n, (rounds - (rest == 0 and j < k)) * len(folds))
+            for i, j in enumerate(folds):
+                loads[j] += size * (n // len(folds) + (i < n % len(folds)))
+            runs.append((size, done, done + n, folds))
+            done += n
+    return runs
+
+
 def group_folds(df: DataFrame, group_col: str, n_splits: int = 5) -> DataFrame:
-    """(group, n, fold): largest group first into the lightest fold; ties by group and by lowest fold."""
+    """(group, n, fold): largest group first into the lightest fold; ties by group and by lowest fold.
+
+    The driver holds a few rows for each different size of a group; groups of a size are ranked in ranges of groups.
+    """
     sizes = df.groupBy(F.col(group_col).alias("group")).agg(F.count("*").alias("n"))
-    n = sizes.count()
+    kinds = [tuple(r) for r in sizes.groupBy("n").count().orderBy(F.desc("n")).collect()]
+    n = sum(c for _, c in kinds)
     if n < n_splits:
         raise ValueError(f"n_splits={n_splits} is more than {n} groups")
-    if n > MAX_GROUPS:
-        return sizes.withColumn("fold", F.pmod(F.xxhash64("group"), F.lit(n_splits)).cast("int"))
-    heap = [(0, k) for k in range(n_splits)]
-    rows = []
-    for r in sizes.orderBy(F.desc("n"), F.col("group").asc_nulls_first()).collect():
-        load, k = heapq.heappop(heap)
-        heapq.heappush(heap, (load + r["n"], k))
-        rows.append((r["group"], r["n"], k))
-    return df.sparkSession.createDataFrame(rows, sizes.schema.add("fold", IntegerType()))
+    runs = df.sparkSession.createDataFrame(deal(kinds, n_splits), "_size long, _first long, _end long, _folds array<int>")
+    picked = F.pmod(F.xxhash64("group"), F.lit(max(1, n // RANGES))) == 0
+    bounds = sizes.where(picked).agg(F.collect_list("group").alias("_bounds"))
+    below = F.when(F.col("group").isNull(), -1).otherwise(F.size(F.filter("_bounds", lambda b: b < F.col("group"))))
+    ranged = sizes.crossJoin(F.broadcast(bounds)).select("group", "n", below.alias("_range"))
+    before = F.sum("_n").over(Window.partitionBy("_size").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy(F.col("n").alias("_size"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    offsets = offsets.select("_size", "_r", F.coalesce(before, F.lit(0)).alias("_offset"))
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("n", "_range").orderBy(F.col("group").asc_nulls_first())))
+    ranked = local.join(offsets, (F.col("n") == F.col("_size")) & (F.col("_range") == F.col("_r"))).select("group", "n", (F.col("_local") + F.col("_offset") - 1).alias("_rank"))
+    met = ranked.join(F.broadcast(runs), (F.col("n") == F.col("_size")) & F.col("_rank").between(F.col("_first"), F.col("_end") - 1))
+    return met.select("group", "n", F.get("_folds", F.pmod(F.col("_rank") - F.col("_first"), F.size("_folds")).cast("int")).alias("fold"))
 
 
 def group_kfold(df: DataFrame, group_col: str, n_splits: int = 5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import http.server
 import math
+import random
 import threading
 
 import pytest
@@ -94,6 +95,35 @@ def test_folds(spark):
         split.kfold(df.limit(3), 5)
 
 
+def greedy(sizes, n_splits):
+    loads, folds = [0] * n_splits, []
+    for n in sizes:
+        k = min(range(n_splits), key=lambda i: (loads[i], i))
+        loads[k] += n
+        folds.append(k)
+    return folds
+
+
+def test_group_folds_are_greedy_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(split, "MAX_GROUPS", 3, raising=False)
+    rng = random.Random(0)
+    sizes = {None: 2, "giant": 150, **{f"g{rng.randrange(10**6)}": rng.choice([1, 1, 1, 2, 2, 3, 7, 20]) for _ in range(400)}}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g string")
+    order = sorted(sizes, key=lambda g: (-sizes[g], g is not None, g or ""))
+    want = dict(zip(order, greedy([sizes[g] for g in order], 5), strict=True))
+    got = split.group_folds(df, "g", 5)
+    assert {r.group: (r.n, r.fold) for r in got.collect()} == {g: (sizes[g], want[g]) for g in sizes} and got.count() == len(sizes)
+
+
+def test_runs_of_a_deal_are_greedy():
+    rng = random.Random(1)
+    for _ in range(300):
+        k = rng.randint(1, 7)
+        kinds = [(n, rng.randint(1, 40)) for n in sorted(rng.sample(range(1, 60), rng.randint(1, 6)), reverse=True)]
+        got = [folds[(r - first) % len(folds)] for _, first, end, folds in split.deal(kinds, k) for r in range(first, end)]
+        assert got == greedy([n for n, c in kinds for _ in range(c)], k)
+
+
 def test_fold_is_the_same_under_any_partitioning(spark):
     df = spark.range(500).withColumn("c", F.col("id") % 7)
     rows = lambda n: sorted(split.stratified_kfold(df.repartition(n), "c", id_col="id").select("id", "fold").collect())
