@@ -7,7 +7,8 @@ the search is for the first leaf at or after the piece's length.
 
 Packing works in blocks of about BLOCK_TOKENS tokens inside a task, so memory is bounded and no shuffle is needed; a
 sequence never crosses a block. Null text: empty, so only the end id. A null doc_id is kept. Repeated rows are packed
-each by itself. An empty table gives no rows.
+each by itself. A text of any length is cut into windows; its block is as long as it needs. Pieces of one length keep
+their order. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import Encoder, tokenizer_path
+from .tokens import Encoder, portions, tokenizer_path
 
 WINDOW = 2048
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 4_000_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -86,15 +87,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = Encoder.load(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder = Encoder.load(tokenizer)
         base = TaskContext.get().partitionId() << 32
-        docs: list[int | None] = []
-        texts: list[bytes] = []
+        # What waits for a block: doc_ids, ids, and each document's number of ids, by run of documents.
+        waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         held = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            nonlocal base
-            sizes = np.array([len(x) // 4 for x in texts], dtype=np.int64)
+            nonlocal base, held
+            docs, ids, sizes = pa.concat_arrays([d for d, _, _ in waiting]), np.concatenate([x for _, x, _ in waiting]), np.concatenate([n for _, _, n in waiting])
+            waiting.clear()
+            held, begin = 0, np.cumsum(sizes) - sizes
             full, rest = sizes // window, sizes % window
             tail = np.flatnonzero(rest)
             place, at, n = best_fit_decreasing(rest[tail], window)
@@ -109,19 +112,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
             for lo in range(0, len(order), 2000):
                 o = order[lo : lo + 2000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([docs[i] for i in owner[o]], pa.int64()), pa.array(start[o]), pa.array(length[o]), pa.array([texts[i][4 * s : 4 * (s + m)] for i, s, m in zip(owner[o].tolist(), start[o].tolist(), length[o].tolist(), strict=True)], pa.binary()), pa.array(sizes[owner[o]]), pa.array(sequence[o]), pa.array(offset[o])],
+                    [docs.take(pa.array(owner[o])), pa.array(start[o]), pa.array(length[o]), pa.array([ids[i : i + m].tobytes() for i, m in zip((begin[owner[o]] + start[o]).tolist(), length[o].tolist(), strict=True)], pa.binary()), pa.array(sizes[owner[o]]), pa.array(sequence[o]), pa.array(offset[o])],
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append(doc)
-                texts.append(encoder.ids(text.as_py()) + end)
-                held += len(texts[-1]) // 4
+        for whole in batches:
+            for batch in portions(whole, 1):
+                ids, sizes = encoder.encode(batch.column(1), end_id)
+                waiting.append((batch.column(0), ids, sizes))
+                held += len(ids)
                 if held >= block_tokens:
                     yield from rows()
-                    docs, texts, held = [], [], 0
-        if docs:
+        if waiting:
             yield from rows()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(packed, PIECES)
