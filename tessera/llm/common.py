@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The six bytes that separate words, `[\x20\x09-\x0D]`; bytes.split() splits at exactly these.
@@ -42,6 +42,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_with_sums(df: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    """materialize(), and what the write saw: the number of rows and two checksums that no order of rows changes."""
+    seen = Observation()
+    sums = [F.coalesce(F.bit_xor(F.xxhash64(F.lit(i), *df.columns)), F.lit(0)).alias(f"x{i}") for i in range(2)]
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), *sums), label)
+    got = seen.get
+    return out, (got.get("n", 0), got.get("x0", 0), got.get("x1", 0))
+
+
+def free_name(wanted: str, *taken: list[str]) -> str:
+    """A column name that is not taken, in any case of letters."""
+    used = {c.lower() for columns in taken for c in columns}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str, spread: Column, salts: int) -> DataFrame:
+    """Inner join of rows with values, one row a key, where a key may have very many rows: they meet in salted parts.
+
+    spread: what tells the rows of a key apart. Each part of a key's rows gets its own copy of the key's values.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    parts = salted.select(key, "_salt").distinct()
+    return salted.join(values.join(parts, key), [key, "_salt"]).drop("_salt")
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing lazy reads it any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -50,5 +77,5 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 
 
 def fold(doc_id: Column, k: int) -> Column:
-    """crc32 of the id as text, mod k; null for a null id."""
-    return F.crc32(doc_id.cast("string")) % k
+    """crc32 of the id as text, mod k; a null id counts as the empty text, whose remainder is 0."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % k
