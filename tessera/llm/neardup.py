@@ -10,7 +10,8 @@ The texts of a SimHash component (links of 4 bits or fewer) are a bucket too, so
 All pairs of a bucket count. First each text is verified against the first document of the bucket and the one before it,
 which joins up most groups in linear work. Then every bucket that still holds texts of two groups or more is verified
 whole: all its pairs that are not in one group yet, in pairs of blocks of about BLOCK texts, and only links that passed
-the verification join groups. So work is quadratic only in buckets that really mix groups.
+the verification join groups. So work is quadratic only in buckets that really mix groups. A bucket of very many texts is
+met in salted parts: a part's first text is verified against the first of the bucket and of the part before it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BANDS, ROWS = 21, 6
 WORDS, SIMILARITY = 5, 0.8
 #: Texts in a block of a bucket; a task holds the shingles of two blocks. Results do not depend on it.
 BLOCK = 512
+#: Rows of a key that meet in one task of a join or a ranking, about.
+SALT_ROWS = 4096
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -79,59 +82,83 @@ def similar(a: Column, b: Column, words: int = WORDS, least: float = SIMILARITY)
 def keep_one_of_each_group(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs less near copies: of each group the row with the smallest doc_id stays, once.
 
-    A text without a word equals any other such text, null included. Null doc_ids come after all others. All columns are
-    returned. Texts are told apart by a 64-bit hash: among n texts about n * n / 2**65 pairs share one and count as equal.
+    A text without a word equals any other such text, null included. Null doc_ids come after all others. Of repeated rows one
+    stays; of rows with equal doc_id and text, but other columns apart, any one. All columns are returned, whatever their
+    names. Texts of any length are hashed and verified whole. An empty table gives no rows. Texts are told apart by a 64-bit
+    hash: among n texts about n * n / 2**65 pairs share one and count as equal.
     """
+    spark = docs.sparkSession
     # A node is a text, by its 64-bit hash. Only ids, hashes and keys are written; texts stay where docs has them.
-    node = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = common.materialize(docs.select("doc_id", node.alias("node"), sketch(F.col("text"), words).alias("s")).select("doc_id", "node", "s.*"), "sketches")
-    nodes = common.materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
-    buckets = common.materialize(_buckets(nodes), "buckets")
+    sketched = docs.select("doc_id", _node(F.col("text")).alias("node"), sketch(F.col("text"), words).alias("s")).select("doc_id", "node", "s.*")
+    rows = common.materialize(sketched, "sketches")
+    nodes, (n, *_) = common.materialize_with_sums(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).select("node", "first", "fp", "keys"), "nodes")
+    common.remove(spark, rows)
+    salts = 1 + n // SALT_ROWS
+    buckets = common.materialize(_buckets(nodes, salts), "buckets")
     pairs = common.materialize(_candidates(buckets), "pairs")
     # One text for each node that has a candidate, found by (doc_id, node): no copies of a frequent text meet in a task.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
-    texts = _at(docs.select("doc_id", F.col("text").cast("string").alias("text")), wanted).select(F.col("_node").alias("node"), "text")
-    texts = common.materialize(texts, "texts")
+    texts = common.materialize(_at(docs, wanted).select(F.col("_node").alias("node"), F.col("_row.text").cast("string").alias("text")), "texts")
     left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    checked = pairs.join(left, "a").join(right, "b").select("a", "b", similar(F.col("text_a"), F.col("text_b"), words, least).alias("ok")).where("ok")
+    # The first text of a bucket may be in very many pairs, on either side.
+    both = common.attach(common.attach(pairs, left, "a", F.col("b"), salts), right, "b", F.col("a"), salts)
+    checked = both.select("a", "b", similar(F.col("text_a"), F.col("text_b"), words, least).alias("ok")).where("ok")
     checked = common.materialize(checked.select("a", "b"), "checked")
-    rest = _rest(buckets, connected_components(checked), texts, words, least)
+    roots = connected_components(checked)
+    rest = common.materialize(_rest(buckets, roots, texts, words, least, salts), "rest")
+    common.remove(spark, roots)
     roots = connected_components(checked.unionByName(rest))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), F.col("first"), F.col("node"))).alias("k")).select("k.first", "k.node")
-    return _at(docs, kept).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = common.materialize(kept, "kept")
+    for done in (nodes, buckets, pairs, texts, checked, rest, roots):
+        common.remove(spark, done)
+    return _at(docs, kept).select("_row.*")
+
+
+def _node(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """One row of docs for each (first, node) of places, with that doc_id (null is a value) and text; adds _id and _node.
+    """_id, _node and _row: one row of docs for each (first, node) of places, with that doc_id (null is a value) and text.
 
     Join and removal of repeated rows share one exchange of docs.
     """
-    as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    given = docs.withColumns({"_id": as_text("doc_id"), "_node": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    places = places.select(as_text("first").alias("_id"), F.col("node").alias("_node"))
+    as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
+    given = docs.select(as_text("doc_id"), _node(F.col("text")).alias("_node"), F.struct("*").alias("_row"))
+    places = places.select(as_text("first"), F.col("node").alias("_node"))
     return given.join(places, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, first) of all buckets of two nodes or more: bands, and components of SimHash links."""
+def _buckets(nodes: DataFrame, salts: int) -> DataFrame:
+    """(key, node, first, size) of all buckets of two nodes or more: bands, and components of SimHash links."""
     fps = nodes.select("fp").distinct()
-    roots = connected_components(simhash.linked(fps)).withColumnRenamed("node", "fp")
-    by_fp = nodes.join(roots, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "node", "first")
+    roots = connected_components(simhash.linked(fps, salts)).withColumnRenamed("node", "fp")
+    # Texts of one fingerprint may be many: they find their root in salted parts.
+    by_root = common.attach(nodes.select("fp", "node", "first"), fps.join(roots, "fp", "left"), "fp", F.col("node"), salts)
+    by_fp = by_root.select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "node", "first")
     members = nodes.select(F.explode("keys").alias("key"), "node", "first").unionByName(by_fp)
-    crowded = members.groupBy("key").count().where("count > 1").select("key")
-    return members.join(crowded, "key")
+    crowded = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return common.attach(members, crowded, "key", F.col("node"), salts).select("key", "node", "first", "size")
 
 
 def _candidates(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes to verify first: each with the first of its bucket and with the one before it."""
-    w = Window.partitionBy("key").orderBy(F.col("first").asc_nulls_last(), "node")
-    met = buckets.select("node", F.first("node").over(w).alias("one"), F.lag("node").over(w).alias("two"))
-    pairs = met.select("node", F.explode(F.array("one", "two")).alias("other")).where("other is not null and node <> other")
+    """Pairs (a, b) of nodes to verify first: each with the first of its bucket's part and with the one before it.
+
+    The first of a part is paired with the bucket's first and with the first of the part before.
+    """
+    order = F.col("first").asc_nulls_last(), F.col("node")
+    salted = buckets.withColumn("_salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SALT_ROWS)))
+    part, bucket = Window.partitionBy("key", "_salt").orderBy(*order), Window.partitionBy("key").orderBy(*order)
+    met = lambda w: F.array(F.first("node").over(w), F.lag("node").over(w)).alias("others")
+    parts = salted.select("key", "node", "first", "size", F.row_number().over(part).alias("at"), met(part))
+    heads = parts.where(f"at = 1 and size > {SALT_ROWS}").select("node", met(bucket))
+    pairs = parts.select("node", "others").unionByName(heads).select("node", F.explode("others").alias("other")).where("other is not null and node <> other")
     return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
-def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame, words: int, least: float, salts: int) -> DataFrame:
     """Links (a, b) that connect the nodes of each bucket, given their roots, as all its similar pairs would."""
     members = buckets.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     same = [F.count("*").alias("size"), *(F.bit_xor(F.xxhash64(F.lit(i), F.col("node"))).alias(f"x{i}") for i in range(2))]
@@ -139,7 +166,7 @@ def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame, words: int, le
     # Buckets of the same nodes, told by size and two hashes, are verified once.
     mixed = mixed.groupBy("size", "x0", "x1").agg(F.min("key").alias("key")).withColumn("n", F.ceil(F.col("size") / BLOCK)).select("key", "n")
     # As in simhash.linked: every pair of blocks is a group, so any two nodes of the bucket meet in one.
-    placed = members.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
+    placed = common.attach(members, mixed, "key", F.col("node"), salts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     block = F.least("own", "other") * F.col("n") + F.greatest("own", "other")
     placed = placed.select("key", block.alias("block"), "own", "node", "root").join(texts, "node")
