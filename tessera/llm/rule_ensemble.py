@@ -2,11 +2,13 @@
 
 Trees are grown on bootstrap samples of labelled texts; every path from a root is a rule, a conjunction of conditions on
 statistics. A logistic regression with a lasso penalty weighs the rules, and those with a weight are compiled into one
-Spark column expression. Training sees at most MAX_ROWS labelled rows (those first by a hash of doc_id); scoring covers
-every whole text. doc_id, source and lang are never statistics.
+Spark column expression. Training sees at most MAX_ROWS labelled rows (those first by a hash of doc_id), a bounded sample; each
+tree draws as many of them, with replacement. Scoring covers every whole text. doc_id, source and lang are never statistics.
 
-Null and empty texts have all statistics zero and get a score like any other. A doc_id with several labels counts as
-its least one. Without both classes in the labels the score is their share of 1 (0.5 without labels).
+Null and empty texts have all statistics zero and get a score like any other. A null doc_id counts as held out and is never
+learned from. A doc_id with several labels counts as its least one; one with several texts gives each of them. Repeated rows
+are learned once and scored each. Texts of any length are measured whole. Without both classes in the labels the score is their
+share of 1 (0.5 without labels). An empty table gives no rows. All columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -136,7 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
     bounds = [np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 25))) for f in range(x.shape[1])]
     rules: list[Rule] = []
     for _ in range(trees):
-        at = rng.integers(0, len(y), min(len(y), 3000))
+        at = rng.integers(0, len(y), len(y))
         rules += grow(x[at], y[at], bounds, rng, depth)
     rules = list(dict.fromkeys(rules))
     r = np.stack([holds(rule, x) for rule in rules], axis=1).astype(np.float64)
@@ -165,17 +167,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: i
     """Fit on the labelled rows whose crc32(doc_id) mod folds is not 0; docs: doc_id, text; labels: doc_id, quality."""
     known = labels.where("quality is not null and doc_id is not null").where(common.fold(F.col("doc_id"), folds) != 0).groupBy("doc_id").agg(F.min("quality").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(max_rows).select(features(F.col("text")).alias("s"), "y")
-    got = rows.select("s.*", F.col("y").cast("double").alias("_y")).toPandas()
-    return fit(got[list(STATISTICS)].to_numpy(dtype=np.float64), got["_y"].to_numpy(dtype=np.float64))
+    # Texts are measured where they are; only statistics come together.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("hash"), "y", features(F.col("text")).alias("s"))
+    got = rows.dropDuplicates(["doc_id", "hash"]).orderBy("doc_id", "hash").limit(max_rows).select("s.*", F.col("y").cast("double").alias("y")).toPandas()
+    return fit(got[list(STATISTICS)].to_numpy(dtype=np.float64), got["y"].to_numpy(dtype=np.float64))
 
 
-def scored(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """docs with all their columns and `quality_score`; learn_from: texts of the labelled rows (docs by default)."""
+def scored(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, name: str = "quality_score") -> DataFrame:
+    """docs with all their columns and a score of that name (with `_` after it if it is taken); learn_from: texts of the labelled rows (docs by default)."""
     rules, intercept = train(docs if learn_from is None else learn_from, labels)
     # The struct is cut off by a nondeterministic UDF, so that statistics are made once a row.
-    with_stats = docs.withColumn("_statistics", features(F.col("text")))
-    return with_stats.withColumn("quality_score", compiled(rules, intercept, F.col("_statistics"))).drop("_statistics")
+    stats = common.free_name("statistics", docs.columns)
+    with_stats = docs.withColumn(stats, features(F.col("text")))
+    return with_stats.withColumn(common.free_name(name, docs.columns), compiled(rules, intercept, F.col(f"`{stats}`"))).drop(stats)
 
 
 def op3_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
