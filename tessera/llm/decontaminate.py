@@ -5,9 +5,13 @@ k = floor(m * ERROR_RATE) edits. It is cut into k + 1 pieces of like length; k e
 always holds an exact piece. An Aho-Corasick automaton finds the pieces of all items in one pass over each whole text;
 around each hit Myers' bit-parallel algorithm computes the least edit distance of the item to a part of the text.
 
-Items of fewer than MIN_CHARS normalised characters (empty and null ones too) match nothing: they would be found in clean
-texts. Equal items each match. Null texts match nothing. Items are taken in blocks of at most BLOCK_CHARS characters, each
-block's automaton going to the workers by itself; every block sees every text.
+Items of fewer than MIN_CHARS normalised characters have no errors to spend: they match where the text holds them whole, word
+for word. Items without a word (empty and null ones too) match nothing. Equal items each match. Null and empty texts match
+nothing; repeated rows match each; a null doc_id is kept; texts of any length are searched whole. Of equally good places the
+first is given. Empty tables give no matches. Other columns are ignored by `matches` and kept by `clean`, whatever their names.
+
+Items are dealt to blocks of about BLOCK_CHARS characters (a longer item is a block's). Documents are scanned once: each batch
+meets one block's automaton after another, so a worker holds one automaton, however large the benchmark.
 """
 
 from __future__ import annotations
@@ -79,12 +83,13 @@ class Matcher:
             return
         import ahocorasick
 
-        self.items = [(i, s) for i, t in self.given if len(s := normal(t)) >= self.min_chars]
-        self.budget = [int(len(s) * self.rate) for _, s in self.items]
-        self.masks = [masks(s) for _, s in self.items]
+        # A short item's one piece has spaces about it, so it is found at word borders alone.
+        self.items = [(i, s) for i, t in self.given if (s := normal(t))]
+        self.budget = [int(len(s) * self.rate) if len(s) >= self.min_chars else 0 for _, s in self.items]
+        self.masks = [masks(s) if k else {} for (_, s), k in zip(self.items, self.budget, strict=True)]
         at: dict[str, list[tuple[int, int]]] = {}
         for n, (_, s) in enumerate(self.items):
-            for offset, piece in pieces(s, self.rate):
+            for offset, piece in pieces(s, self.rate) if len(s) >= self.min_chars else [(0, f" {s} ")]:
                 at.setdefault(piece, []).append((n, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, places in at.items():
@@ -93,19 +98,27 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(at)
 
+    def forget(self) -> None:
+        """Free what ready() made."""
+        for name in ("automaton", "items", "budget", "masks"):
+            self.__dict__.pop(name, None)
+
     def __getstate__(self) -> dict:
         return {"given": self.given, "rate": self.rate, "min_chars": self.min_chars}
 
-    def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, begin, stop, distance) for each item that a text holds; the place is that of the window's best end in the normalised text."""
-        s = normal(text)
+    def find(self, s: str) -> list[tuple[int, int, int, int]]:
+        """(item_id, begin, stop, distance) for each item that a normalised text holds; the place is that of the window's best end in it."""
         if not self.any or not s:
             return []
         windows: dict[int, list[list[int]]] = {}
-        for end, (size, places) in self.automaton.iter(s):
+        # With a space on either side; places are those in s.
+        for end, (size, places) in self.automaton.iter(f" {s} "):
             for n, offset in places:
                 k, m = self.budget[n], len(self.items[n][1])
-                lo, hi = max(0, end + 1 - size - offset - k), min(len(s), end + 1 - size - offset + m + k)
+                if m < self.min_chars:
+                    windows.setdefault(n, [[end + 1 - size, end - 1]])
+                    continue
+                lo, hi = max(0, end - size - offset - k), min(len(s), end - size - offset + m + k)
                 spans = windows.setdefault(n, [])
                 # Hits come by their ends; windows that overlap the last one are one search.
                 if spans and lo <= spans[-1][1]:
@@ -115,10 +128,15 @@ class Matcher:
         out = []
         for n, spans in sorted(windows.items()):
             item_id, item = self.items[n]
+            if len(item) < self.min_chars:
+                out.append((item_id, spans[0][0], spans[0][1], 0))
+                continue
             exact = s.find(item)
             if exact >= 0:
                 out.append((item_id, exact, exact + len(item), 0))
                 continue
+            if not self.budget[n]:
+                continue
             best = min((myers(self.masks[n], len(item), s[lo:hi]) + (lo,) for lo, hi in spans), key=lambda x: (x[0], x[2] + x[1]))
             if best[0] <= self.budget[n]:
                 stop = best[2] + best[1]
@@ -126,25 +144,35 @@ class Matcher:
         return out
 
 
-def matchers(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
-    """Broadcast matchers of all items, a block at a time."""
+def matchers(benchmark: DataFrame, block_chars: int | None = None) -> list:
+    """Broadcast matchers of all items, block by block; the driver holds one block at a time."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-chars // block_chars))
+    n, out = max(1, -(-chars // (block_chars or BLOCK_CHARS))), []
     for block in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).orderBy("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(Matcher([(r[0], r[1]) for r in rows]))
+        if rows or not out:
+            out.append(spark.sparkContext.broadcast(Matcher([(r[0], r[1]) for r in rows])))
+    return out
 
 
-def found(text: Column, matcher) -> Column:
-    """array<struct<MATCH>> of the items of one block in whole texts."""
+def found(text: Column, blocks: list) -> Column:
+    """array<struct<MATCH>> of the items of all blocks in whole texts, block by block."""
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int32()), ("stop", pa.int32()), ("distance", pa.int32())]))
+    names = tuple(kind.value_type.field(i).name for i in range(4))
 
     def of(texts: pa.Array) -> pa.Array:
-        m = matcher.value
-        m.ready()
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int32()), ("stop", pa.int32()), ("distance", pa.int32())]))
-        return pa.array([[dict(zip(("item_id", "begin", "stop", "distance"), x, strict=True)) for x in m.find(t.as_py())] for t in texts], kind)
+        out: list[list[dict]] = [[] for _ in range(len(texts))]
+        clean = [normal(t.as_py()) for t in texts]
+        for block in blocks:
+            m = block.value
+            m.ready()
+            for i, s in enumerate(clean):
+                out[i] += [dict(zip(names, x, strict=True)) for x in m.find(s)]
+            if len(blocks) > 1:
+                m.forget()
+        return pa.array(out, kind)
 
     of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(of, f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>").asNondeterministic()(text.cast("string"))
@@ -152,19 +180,12 @@ def found(text: Column, matcher) -> Column:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, begin, stop, distance): every item that a text of docs (doc_id, text) holds."""
-    out = None
-    for m in matchers(benchmark):
-        part = docs.select("doc_id", F.explode(found(F.col("text"), m)).alias("m")).select("doc_id", "m.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return docs.select("doc_id", F.explode(found(F.col("text"), matchers(benchmark))).alias("m")).select("doc_id", "m.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no item; all columns."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    for m in matchers(benchmark):
-        docs = docs.withColumn("_matches", found(F.col("text"), m)).where(F.size("_matches") == 0).select(*columns)
-    return docs
+    return docs.where(F.size(found(F.col("text"), matchers(benchmark))) == 0)
 
 
 def op6_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
