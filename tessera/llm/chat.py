@@ -7,10 +7,13 @@ A log holds events (conv_id, seq, turn, kind, role, text):
     edit        replaces a turn's text
     regenerate  empties a turn's text and drops all later turns, as of that event
 
-Events of a conversation are ordered by (seq, kind, role, text), nulls first. A turn's final text is that of its last
-message, edit or regenerate, with the deltas after it appended; a turn is dropped if a regenerate of an earlier turn comes
-after its last message. Null text counts as empty, a null role as the empty role; an unknown kind is ignored. Conversations
-are told apart by conv_id, null being one of them.
+Events of a conversation are ordered by (seq, kind, role, text), nulls first. Events of a turn up to the last regenerate of an
+earlier turn are void; a turn with none left is dropped. Of the others, a turn's text is that of its last message, edit or
+regenerate (empty) with the deltas after it appended, and its role that of its last message that has one, else of its first
+delta that has one. Null text counts as empty, a null role as the empty role; an unknown or null kind is ignored. Conversations
+are told apart by conv_id, null being one of them; a null turn comes before all others. Repeated events count as often as they
+stand. An empty log gives no rows. Other columns are ignored. A conversation is one string when rendered, so it may hold 2 GB
+at most; its events meet in one task, which their order asks for.
 
 Rendering: each turn becomes `<|im_start|>` role `\\n` text `<|im_end|>\\n`. In roles and texts `&` becomes `&amp;`, `<` becomes
 `&lt;`, `[` becomes `&#91;` and a role's `\\n` becomes `&#10;`, so no control string of this or another template is left, and
@@ -38,27 +41,21 @@ def unescape(text: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Final turns (conv_id, turn, seq, role, text) of a log."""
-    clean = events.select("conv_id", "seq", "turn", F.lower("kind").alias("kind"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    clean = clean.where(F.col("kind").isin("message", "delta", "edit", "regenerate"))
-    order = F.struct("seq", "kind", "role", "text")
-    regen = clean.where("kind = 'regenerate'").select("conv_id", F.col("turn").alias("from_turn"), F.col("seq").alias("at"))
-    by_turn = clean.groupBy("conv_id", "turn").agg(
-        F.max(F.when(F.col("kind") != "delta", order)).alias("base"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", order))).alias("deltas"),
-        F.max(F.when(F.col("kind") == "message", F.struct("seq", "kind", "role"))).alias("message"),
-        F.min("seq").alias("first_seq"),
-        F.max("seq").alias("last_seq"),
-    )
-    joined = by_turn.join(regen.groupBy("conv_id", "from_turn").agg(F.max("at").alias("at")).withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("from_turn")), "left").drop("_conv", "from_turn")
-    # Largest regenerate of any earlier turn: the running maximum, less the turn's own row.
+    """Final turns (conv_id, turn, seq, role, text) of a log; seq: of the turn's first event that is not void."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    clean = events.select("conv_id", "seq", "turn", F.lower("kind").alias("kind"), text("role"), text("text")).where(F.col("kind").isin("message", "delta", "edit", "regenerate"))
+    event = F.struct("seq", "kind", "role", "text")
+    # One exchange: windows and groups below are all by conversation.
+    by_turn = clean.repartition("conv_id").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(event)).alias("all"), F.max(F.when(F.col("kind") == "regenerate", event)).alias("regenerated"))
     earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    alive = joined.withColumn("dropped_at", F.max("at").over(earlier)).where("dropped_at is null or last_seq > dropped_at")
-    after = lambda d: (F.col("base").isNull() | (d["seq"] > F.col("base.seq"))) & (F.col("dropped_at").isNull() | (d["seq"] > F.col("dropped_at")))
-    kept = F.transform(F.filter("deltas", after), lambda d: d["text"])
-    base = F.when(F.col("base.kind").isin("message", "edit") & (F.col("dropped_at").isNull() | (F.col("base.seq") > F.col("dropped_at"))), F.col("base.text")).otherwise(F.lit(""))
-    role = F.coalesce(F.when(F.col("message.role") != "", F.col("message.role")), F.get(F.filter(F.transform("deltas", lambda d: d["role"]), lambda r: r != ""), F.lit(0)), F.lit(""))
-    return alive.select("conv_id", "turn", F.col("first_seq").alias("seq"), role.alias("role"), F.concat(base, F.array_join(kept, "")).alias("text"))
+    void = by_turn.withColumn("void", F.max("regenerated").over(earlier))
+    live = void.select("conv_id", "turn", F.when(F.col("void").isNull(), F.col("all")).otherwise(F.filter("all", lambda e: e > F.col("void"))).alias("live")).where(F.size("live") > 0)
+    bases = live.withColumn("base", F.get(F.reverse(F.filter("live", lambda e: e["kind"] != "delta")), F.lit(0)))
+    appended = F.transform(F.filter("live", lambda e: (e["kind"] == "delta") & (F.col("base").isNull() | (e > F.col("base")))), lambda e: e["text"])
+    start = F.when(F.col("base.kind").isin("message", "edit"), F.col("base.text")).otherwise(F.lit(""))
+    roles = lambda kind: F.transform(F.filter("live", lambda e: (e["kind"] == kind) & (e["role"] != "")), lambda e: e["role"])
+    role = F.coalesce(F.get(F.reverse(roles("message")), F.lit(0)), F.get(roles("delta"), F.lit(0)), F.lit(""))
+    return bases.select("conv_id", "turn", F.get("live", F.lit(0))["seq"].alias("seq"), role.alias("role"), F.concat(start, F.array_join(appended, "")).alias("text"))
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -102,10 +99,21 @@ def digest(turns: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A log of one message a row; rows that share a turn stay turns of their own, ordered by role and text."""
+    """The log of events that leads to rows of conversations (conv_id, turn, role, text), with the ways a chat takes.
+
+    A turn of the assistant is a message with a draft, a regenerate, and the text streamed in three deltas; any other turn is
+    a message with a draft, an edit to the first third of the text, and the rest in two deltas. Rows that share a turn stay
+    turns of their own, ordered by role and text.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    n = F.row_number().over(w).cast("long")
-    return conversations.select("conv_id", n.alias("seq"), n.alias("turn"), F.lit("message").alias("kind"), "role", "text")
+    third = F.ceil(F.length("text") / 3).cast("int")
+    rows = conversations.select("conv_id", F.row_number().over(w).cast("long").alias("n"), "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("third", third)
+    piece = lambda k: F.substring(F.col("text"), F.col("third") * k + 1, F.col("third"))
+    event = lambda k, kind, text: F.struct((F.col("n") * 8 + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    draft = event(0, "message", F.lit("draft"))
+    streamed = F.array(draft, event(1, "regenerate", F.lit("")), *(event(2 + k, "delta", piece(k)) for k in range(3)))
+    edited = F.array(draft, event(1, "edit", piece(0)), *(event(1 + k, "delta", piece(k)) for k in (1, 2)))
+    return rows.select("conv_id", "n", "role", F.explode(F.when(F.col("role") == ASSISTANT, streamed).otherwise(edited)).alias("e")).select("conv_id", "e.seq", F.col("n").alias("turn"), "e.kind", "role", "e.text")
 
 
 def op7_chat_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
