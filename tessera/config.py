@@ -35,16 +35,29 @@ class Config:
     store: StoreConfig = field(default_factory=StoreConfig)
 
 
-def load_dotenv(path: str) -> None:
-    """Set variables of a .env file that are not set yet."""
-    for line in Path(path).read_text().splitlines() if Path(path).exists() else []:
+def get_config() -> Config:
+    """Settings from the environment as it is now."""
+    return Config()
+
+
+def parse_dotenv(text: str) -> dict[str, str]:
+    """Variables of a .env file's text: NAME=value, a value in quotes without them; lines that are none are skipped."""
+    out = {}
+    for line in text.splitlines():
         name, equals, value = line.strip().partition("=")
         if not equals or name.startswith("#"):
             continue
         value = value.strip()
         if len(value) >= 2 and value[0] == value[-1] and value[0] in "'\"":
             value = value[1:-1]
-        os.environ.setdefault(name.strip(), value)
+        out[name.strip()] = value
+    return out
+
+
+def load_dotenv(path: str) -> None:
+    """Set variables of a .env file that are not set yet."""
+    for name, value in parse_dotenv(Path(path).read_text()).items() if Path(path).exists() else ():
+        os.environ.setdefault(name, value)
 
 
 def health() -> dict[str, str]:
