@@ -60,8 +60,32 @@ def smape_gated(df: DataFrame) -> Column:
 
 
 def evaluate(df: DataFrame) -> DataFrame:
-    """One row: exact_match, f1_macro, f1_micro, f1_weighted, smape, n_joined."""
-    direct = df.agg(exact_match(df).alias("exact_match"), smape_gated(df).alias("smape"), F.count("*").alias("n_joined"))
-    # Two rows of one row each; joined on a constant key.
-    f1 = f1_scores(df).withColumn("_one", F.lit(1))
-    return f1.join(direct.withColumn("_one", F.lit(1)), "_one").select("exact_match", "f1_macro", "f1_micro", "f1_weighted", "smape", "n_joined")
+    """One row: exact_match, f1_macro, f1_micro, f1_weighted, smape, n_joined. All from one confusion table, so df is read once."""
+    conf = confusion(df)
+    n, t, p = F.col("n"), py_float(F.col("t")), py_float(F.col("p"))
+    term = F.abs(p - t) / ((F.abs(t) + F.abs(p)) / 2 + F.lit(EPSILON)) * n
+    zero = F.lit(0).cast("long")
+    count = lambda hit: F.when(hit, n).otherwise(zero)
+    # A pair of labels counts once for each side; what is summed over pairs rides on the true side.
+    true = F.struct(F.col("t").alias("label"), n.alias("true_n"), zero.alias("pred_n"), count(F.col("t") == F.col("p")).alias("tp"), count(F.lower("t") == F.lower("p")).alias("exact"), F.coalesce(term, F.lit(0.0)).alias("term"), count(term.isNull()).alias("unread"))
+    pred = F.struct(F.col("p").alias("label"), zero.alias("true_n"), n.alias("pred_n"), zero.alias("tp"), zero.alias("exact"), F.lit(0.0).alias("term"), zero.alias("unread"))
+    sums = ("true_n", "pred_n", "tp", "exact", "term", "unread")
+    by = conf.select(F.explode(F.array(true, pred)).alias("x")).groupBy("x.label").agg(*(F.sum(f"x.{c}").alias(c) for c in sums))
+    f1, total = 2.0 * F.col("tp") / (F.col("true_n") + F.col("pred_n")), lambda c: F.sum(c)
+    return by.agg(
+        (total("exact") / total("true_n")).alias("exact_match"),
+        F.avg(f1).alias("f1_macro"),
+        (2.0 * total("tp") / (total("true_n") + total("pred_n"))).alias("f1_micro"),
+        (F.sum(f1 * F.col("true_n")) / total("true_n")).alias("f1_weighted"),
+        F.when(total("unread") == 0, total("term") / total("true_n") * 100).alias("smape"),
+        F.coalesce(total("true_n"), zero).alias("n_joined"),
+    )
+
+
+def coverage(truth: DataFrame, pred: DataFrame, id_col: str = "index") -> DataFrame:
+    """One row: n_truth, n_pred and n_joined rows, many-to-many ids multiplied, and n_missing ids of truth without a prediction."""
+    sizes = lambda df, name: df.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias(name))
+    a, b = sizes(truth, "a"), sizes(pred, "b").withColumnRenamed("id", "other")
+    both = a.join(b, F.col("id").eqNullSafe(F.col("other")), "full")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.agg(total("a").alias("n_truth"), total("b").alias("n_pred"), total(F.col("a") * F.col("b")).alias("n_joined"), F.count_if(F.col("a").isNotNull() & F.col("b").isNull()).alias("n_missing"))

@@ -57,7 +57,7 @@ class RulePredictor(Predictor):
 class Cascade(Predictor):
     """The first member whose prediction is not missing, blank or 'nan' wins; else the fallback.
 
-    Members with a `column` are one coalesce. Others are applied in turn to the rows that are still open.
+    Members with a `column` are one coalesce. Others each add their predictions to all rows, which are read once.
     """
 
     def __init__(self, members: list[Predictor], name: str = "cascade", fallback: str = "") -> None:
@@ -74,11 +74,8 @@ class Cascade(Predictor):
     def transform(self, df: DataFrame) -> DataFrame:
         if all(hasattr(m, "column") for m in self.members):
             return df.withColumn("prediction", F.coalesce(*(cleaned(m.column(df)) for m in self.members), F.lit(self.fallback)))
-        done, columns = None, df.columns
-        for m in self.members:
-            out = m.transform(df).withColumn("prediction", cleaned(F.col("prediction"))).persist()
-            part = out.where("prediction is not null")
-            done = part if done is None else done.unionByName(part)
-            df = out.where("prediction is null").select(*columns)
-        rest = df.withColumn("prediction", F.lit(self.fallback))
-        return rest if done is None else done.unionByName(rest)
+        columns, names = df.columns, []
+        for i, m in enumerate(self.members):
+            names.append(f"_prediction_{i}")
+            df = m.transform(df).withColumn(names[-1], cleaned(F.col("prediction"))).select(*columns, *names)
+        return df.withColumn("prediction", F.coalesce(*names, F.lit(self.fallback))).drop(*names)

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..sources.tables import read_table, write_csv
-from .ranking import global_rank, seeded_key
-
-#: Ranges of groups, about, within which groups of one size are ranked; results do not depend on it.
-RANGES = 200
+from .ranking import global_rank, in_ranges, seeded_key
 
 
 def _with_key(df: DataFrame, id_col: str | None, seed: int) -> tuple[DataFrame, list]:
@@ -23,10 +20,10 @@ def _with_key(df: DataFrame, id_col: str | None, seed: int) -> tuple[DataFrame,
 def kfold(df: DataFrame, n_splits: int = 5, seed: int = 42, id_col: str | None = None) -> DataFrame:
     """fold 0..n_splits-1 over a seeded order; the first n % n_splits folds have one row more."""
     df, order = _with_key(df.drop("fold"), id_col, seed)
-    ranked = global_rank(df, order, F.substring("_key", 1, 2), "_rank")
     n = df.count()
     if n < n_splits:
         raise ValueError(f"n_splits={n_splits} is more than {n} rows")
+    ranked = global_rank(df, order, "_key", n, "_rank")
     size, extra = divmod(n, n_splits)
     r, cut = F.col("_rank") - 1, extra * (size + 1)
     fold = F.when(r < cut, F.floor(r / (size + 1))).otherwise(F.lit(extra) + F.floor((r - cut) / size))
@@ -37,10 +34,10 @@ def stratified_kfold(df: DataFrame, target_col: str, n_splits: int = 5, seed: in
     """Round robin over rows sorted by class and seeded key: classes and folds differ by one row at most. Null is a class, 'nan'."""
     df, order = _with_key(df.drop("fold"), id_col, seed)
     df = df.withColumn("_class", F.coalesce(F.col(target_col).cast("string"), F.lit("nan")))
-    largest = df.groupBy("_class").count().agg(F.max("count")).first()[0] or 0
-    if largest < n_splits:
+    largest, n = df.groupBy("_class").count().agg(F.max("count"), F.sum("count")).first()
+    if (largest or 0) < n_splits:
         raise ValueError(f"n_splits={n_splits} is more than the members of any class")
-    ranked = global_rank(df, [F.col("_class"), *order], F.struct("_class", F.substring("_key", 1, 2)), "_rank")
+    ranked = global_rank(df, order, "_key", n, "_rank", group="_class")
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % n_splits).cast("int")).drop("_key", "_rank", "_class")
 
 
@@ -81,10 +78,7 @@ def group_folds(df: DataFrame, group_col: str, n_splits: int = 5) -> DataFrame:
     if n < n_splits:
         raise ValueError(f"n_splits={n_splits} is more than {n} groups")
     runs = df.sparkSession.createDataFrame(deal(kinds, n_splits), "_size long, _first long, _end long, _folds array<int>")
-    picked = F.pmod(F.xxhash64("group"), F.lit(max(1, n // RANGES))) == 0
-    bounds = sizes.where(picked).agg(F.collect_list("group").alias("_bounds"))
-    below = F.when(F.col("group").isNull(), -1).otherwise(F.size(F.filter("_bounds", lambda b: b < F.col("group"))))
-    ranged = sizes.crossJoin(F.broadcast(bounds)).select("group", "n", below.alias("_range"))
+    ranged = in_ranges(sizes, "group", n)
     before = F.sum("_n").over(Window.partitionBy("_size").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
     offsets = ranged.groupBy(F.col("n").alias("_size"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
     offsets = offsets.select("_size", "_r", F.coalesce(before, F.lit(0)).alias("_offset"))
@@ -159,23 +153,26 @@ def golden(df: DataFrame, target_col: str | None = None, train_size: int = 5000,
     else:
         pool = sample_exact(df, min(total, n), seed, id_col)
     keyed, order = _with_key(pool, id_col, seed + 1)
-    ranked = global_rank(keyed, order, F.substring("_key", 1, 2), "_rank").drop("_key")
+    ranked = global_rank(keyed, order, "_key", min(total, n), "_rank").drop("_key")
     return ranked.where(F.col("_rank") <= val + train).withColumn("split", F.when(F.col("_rank") <= val, "val").otherwise("train")).drop("_rank")
 
 
 def run_splitter(spark, input_file: str, output_dir: str, target_col: str | None = None, group_col: str | None = None, golden_train: int = 5000, golden_val: int = 1000, n_splits: int = 5, seed: int = 42, id_col: str | None = None) -> dict:
-    """Golden split and folds of a table, written to output_dir with metadata."""
+    """Golden split and folds of a table, written to output_dir (a path of any scheme) with metadata.
+
+    The golden sample is written once, by split, and its two tables are made from what was written.
+    """
     df = read_table(spark, input_file)
-    out = Path(output_dir)
-    picked = golden(df, target_col, golden_train, golden_val, seed, id_col).persist()
-    sizes = {}
+    path = files.join(output_dir, "golden.parts")
+    golden(df, target_col, golden_train, golden_val, seed, id_col).write.mode("overwrite").parquet(path)
+    picked, sizes = spark.read.parquet(path), {}
     for name in ("train", "val"):
         part = picked.where(F.col("split") == name).drop("split")
-        part.write.mode("overwrite").parquet(str(out / f"golden_{name}.parquet"))
-        write_csv(part, str(out / f"golden_{name}.csv"))
+        part.write.mode("overwrite").parquet(files.join(output_dir, f"golden_{name}.parquet"))
+        write_csv(part, files.join(output_dir, f"golden_{name}.csv"), single=True)
         sizes[name] = part.count()
-    picked.unpersist()
-    assign_folds(df, target_col, group_col, n_splits, seed, id_col).write.mode("overwrite").parquet(str(out / "train_folded.parquet"))
+    files.delete(spark, path)
+    assign_folds(df, target_col, group_col, n_splits, seed, id_col).write.mode("overwrite").parquet(files.join(output_dir, "train_folded.parquet"))
     meta = {"source_rows": df.count(), "target_col": target_col, "group_col": group_col, "golden_train_rows": sizes["train"], "golden_val_rows": sizes["val"], "n_splits": n_splits, "seed": seed}
-    (out / "split_metadata.json").write_text(json.dumps(meta, indent=2))
+    files.write_bytes(spark, files.join(output_dir, "split_metadata.json"), json.dumps(meta, indent=2).encode())
     return meta
