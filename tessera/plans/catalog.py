@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime
+import io
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cli, config
 from ..functions import binary, text, units
 from ..operators import metrics, models, split, submission
-from ..sources import assets
+from ..sources import assets, files, store, tables
+from ..trace import Tracer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -250,11 +256,14 @@ def validation_report(spark: SparkSession, d: str) -> DataFrame:
 _URL = "CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN upper(url) WHEN 2 THEN 'httpfoo' WHEN 3 THEN '' ELSE url END"
 
 
+def _urls() -> F.Column:
+    k = F.col("page_id") % 5
+    return F.when(k == 0, None).when(k == 1, F.upper("url")).when(k == 2, "httpfoo").when(k == 3, "").otherwise(F.col("url"))
+
+
 @query(f"SELECT page_id, CASE WHEN u IS NULL OR NOT starts_with(u, 'http') THEN 'invalid_url' END AS reason FROM (SELECT page_id, {_URL} AS u FROM pages)")
 def asset_url_classify(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("page_id") % 5
-    url = F.when(k == 0, None).when(k == 1, F.upper("url")).when(k == 2, "httpfoo").when(k == 3, "").otherwise(F.col("url"))
-    return _table(spark, d, "pages").select("page_id", assets.url_reason(url).alias("reason"))
+    return _table(spark, d, "pages").select("page_id", assets.url_reason(_urls()).alias("reason"))
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN octet_length(encode(html)) > 1024 ELSE false END AS valid FROM pages")
@@ -264,10 +273,11 @@ def asset_signature(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", binary.is_valid_image(data).alias("valid"))
 
 
-@query("SELECT CAST(sum(CASE WHEN page_id % 3 < 2 THEN 1 ELSE 0 END) AS BIGINT) AS success, CAST(sum(CASE WHEN page_id % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skipped, CAST(sum(CASE WHEN page_id % 3 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM pages")
+@query(f"""SELECT CAST(sum(CASE WHEN starts_with(u, 'http') AND n > 2000 THEN 1 ELSE 0 END) AS BIGINT) AS success, CAST(sum(CASE WHEN starts_with(u, 'http') AND n > 9000 THEN 1 ELSE 0 END) AS BIGINT) AS skipped,
+CAST(sum(CASE WHEN starts_with(u, 'http') AND n > 2000 THEN 0 ELSE 1 END) AS BIGINT) AS failed FROM (SELECT {_URL} AS u, length(html) AS n FROM pages)""")
 def asset_tallies(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("page_id") % 3
-    return assets.tallies(_table(spark, d, "pages").select(F.col("url").alias("path"), (k < 2).alias("ok"), F.when(k == 1, "already_exists").when(k == 2, "http_status_404").alias("reason")))
+    reason = F.coalesce(assets.url_reason(_urls()), F.when(F.length("html") <= 2000, "corrupted_or_html"), F.when(F.length("html") > 9000, "already_exists"))
+    return assets.tallies(_table(spark, d, "pages").select(F.col("url").alias("path"), (reason.isNull() | (reason == "already_exists")).alias("ok"), reason.alias("reason")))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50")
@@ -283,10 +293,13 @@ def split_metadata(spark: SparkSession, d: str) -> DataFrame:
     return n.agg(F.sum("source").alias("source_rows"), F.count_if(F.col("split") == "train").alias("golden_train_rows"), F.count_if(F.col("split") == "val").alias("golden_val_rows")).withColumns({"n_splits": F.lit(5), "seed": F.lit(42)})
 
 
-@query("SELECT page_id FROM pages WHERE NOT (page_id % 2 = 0 AND page_id * 10 > 100)")
+@query("""WITH w AS (SELECT CASE WHEN page_id % 7 = 0 THEN NULL ELSE page_id // 2 END AS id FROM pages), l AS (SELECT page_id // 3 AS id, octet_length(encode(url)) * 2 AS n FROM pages UNION ALL SELECT NULL, 500)
+SELECT id FROM w WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.id = w.id AND l.n > 100)""")
 def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    pages = _table(spark, d, "pages").select("page_id")
-    return assets.remaining(pages, pages.where(F.col("page_id") % 2 == 0).withColumn("length", F.col("page_id") * 10), "page_id")
+    pages = _table(spark, d, "pages")
+    wanted = pages.select(F.when(F.col("page_id") % 7 != 0, F.floor(F.col("page_id") / 2)).alias("id"))
+    listed = pages.select(F.floor(F.col("page_id") / 3).alias("id"), (F.octet_length("url") * 2).alias("length"))
+    return assets.remaining(wanted, listed.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id, 500 AS length")), "id")
 
 
 @query("SELECT count(DISTINCT doc_id) AS shared_ids FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -298,3 +311,286 @@ def id_intersection(spark: SparkSession, d: str) -> DataFrame:
 def parse_float(spark: SparkSession, d: str) -> DataFrame:
     given = F.element_at(F.array(*map(F.lit, [" 12 ", "1_000", "1d", "1e3", "0x10", "-.5"])), (F.col("p_partkey") % 6 + 1).cast("int"))
     return _table(spark, d, "part").select("p_partkey", text.py_float(given).alias("value"))
+
+
+# Operators that read and write files, reports, command lines: each writes to the shared folder and reads back.
+
+_STRAT_PART = "SELECT p_partkey, p_brand, CAST((row_number() OVER (ORDER BY p_brand, md5('42:' || CAST(p_partkey AS VARCHAR)), p_partkey) - 1) % 5 AS INT) AS fold FROM part"
+
+
+@query(_STRAT_PART)
+def assign_folds_by_target(spark: SparkSession, d: str) -> DataFrame:
+    return split.assign_folds(_table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "no_such_column", id_col="p_partkey")
+
+
+@query("SELECT o_orderkey, o_totalprice, CAST(ntile(5) OVER (ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS INT) AS fold FROM orders")
+def assign_folds_plain(spark: SparkSession, d: str) -> DataFrame:
+    return split.assign_folds(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", id_col="o_orderkey")
+
+
+@query(f"""WITH RECURSIVE {SQL["kfold_group"].removeprefix("WITH RECURSIVE ").rsplit("SELECT g.", 1)[0]}
+SELECT event_id, user_id, CAST(s.fold AS INT) AS fold FROM events JOIN g ON g."group" = events.user_id JOIN s USING (i)""")
+def assign_folds_by_group(spark: SparkSession, d: str) -> DataFrame:
+    return split.assign_folds(_table(spark, d, "events").select("event_id", "user_id"), "user_id", "user_id")
+
+
+_GOLDEN_STRAT = """WITH d AS (SELECT doc_id, lang, md5('42:' || CAST(doc_id AS VARCHAR)) AS k, count(*) OVER () AS n, count(*) OVER (PARTITION BY lang) AS c FROM documents),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k, doc_id) AS rn FROM d),
+pool AS (SELECT doc_id FROM s WHERE lang IS NOT NULL AND rn <= round_even(c * least(1.0::DOUBLE, 77.0::DOUBLE / n), 0)),
+rest AS (SELECT doc_id, row_number() OVER (ORDER BY k, doc_id) AS r FROM s WHERE doc_id NOT IN (SELECT doc_id FROM pool)),
+filled AS (SELECT doc_id FROM pool UNION ALL SELECT doc_id FROM rest WHERE r <= 77 - (SELECT count(*) FROM pool)),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY md5('43:' || CAST(doc_id AS VARCHAR)), doc_id) AS rk FROM filled)
+SELECT doc_id, CASE WHEN rk <= 17 THEN 'val' ELSE 'train' END AS split FROM z WHERE rk <= 77"""
+
+
+@query(_GOLDEN_STRAT)
+def golden_stratified(spark: SparkSession, d: str) -> DataFrame:
+    return split.golden(_table(spark, d, "documents").select("doc_id", "lang"), "lang", 60, 17, id_col="doc_id").select("doc_id", "split")
+
+
+_CELL = "CASE p_partkey % 6 WHEN 0 THEN 'NA' WHEN 1 THEN p_name || ', \"q\"' WHEN 2 THEN p_name || chr(10) || 'two' WHEN 3 THEN ' ' ELSE p_name END"
+
+
+def _cells() -> F.Column:
+    k = F.col("p_partkey") % 6
+    return F.when(k == 0, "NA").when(k == 1, F.concat("p_name", F.lit(', "q"'))).when(k == 2, F.concat("p_name", F.lit("\ntwo"))).when(k == 3, " ").otherwise(F.col("p_name"))
+
+
+def _csv(spark: SparkSession, df: DataFrame, label: str, single: bool = False) -> str:
+    path = files.scratch(spark, label) + ".csv"
+    tables.write_csv(df, path, single)
+    return path
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE {_CELL} END AS cell FROM part")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return tables.read_table(spark, _csv(spark, _table(spark, d, "part").select(F.col("p_partkey").alias("id"), _cells().alias("cell")), "cells"))
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE {_CELL} END AS cell FROM part WHERE p_partkey % 6 <> 2")
+def csv_single_file(spark: SparkSession, d: str) -> DataFrame:
+    df = _table(spark, d, "part").where("p_partkey % 6 <> 2").select(F.col("p_partkey").alias("id"), _cells().alias("cell"))
+    path = _csv(spark, df, "one", single=True)
+    if tables.has_quoted_newlines(spark, path) or tables.header(spark, path) != ["id", "cell"]:
+        raise ValueError("the file is not what was written")
+    return tables.read_table(spark, path)
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 100000")
+def parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "orders") + ".parquet"
+    _table(spark, d, "orders").where("o_totalprice > 100000").select("o_orderkey", "o_orderstatus", "o_totalprice").write.parquet(path)
+    return tables.read_table(spark, path)
+
+
+def _shape_sql(*names: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, (SELECT count(*) FROM {n}) AS n_rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {n})) AS n_columns" for n in names)
+
+
+@query(_shape_sql("region", "nation", "part", "documents"))
+def table_shape(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(n, *tables.shape(_table(spark, d, n))) for n in ("region", "nation", "part", "documents")], "name string, n_rows long, n_columns long")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 5")
+def table_preview(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(tables.preview(_table(spark, d, "orders").orderBy("o_orderkey").select("o_orderkey", "o_orderstatus")), "o_orderkey long, o_orderstatus string")
+
+
+_REPORT = "is_valid boolean, total_rows long, expected_rows long, null_count long, blank_count long, id_mismatches long, n_errors long, columns string"
+
+
+def _reported(spark: SparkSession, r: submission.Report) -> DataFrame:
+    return spark.createDataFrame([(r.is_valid, r.total_rows, r.expected_rows, r.null_count, r.empty_string_count, r.id_mismatches, len(r.errors), ",".join(r.columns))], _REPORT)
+
+
+@query("""WITH s AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 4 <> 0), r AS (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT false AS is_valid, (SELECT count(*) FROM s) AS total_rows, (SELECT count(*) FROM r) AS expected_rows, (SELECT count(*) FROM s WHERE p IS NULL) AS null_count, (SELECT count(*) FROM s WHERE trim(p) = '') AS blank_count,
+(SELECT count(*) FROM s WHERE id NOT IN (SELECT id FROM r)) + (SELECT count(*) FROM r WHERE id NOT IN (SELECT id FROM s)) AS id_mismatches, 5::BIGINT AS n_errors, 'index,prediction' AS columns""")
+def validate_submission(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = _table(spark, d, "orders")
+    sub = orders.where(k % 4 != 0).select(k.alias("index"), F.when(k % 6 == 0, None).when(k % 6 == 1, "  ").otherwise(F.col("o_orderpriority")).alias("prediction"))
+    sample = orders.where(k % 5 != 0).select(k.alias("index"), F.lit("x").alias("other"))
+    return _reported(spark, submission.validate(spark, _csv(spark, sub, "sub", True), _csv(spark, sample, "sample", True)))
+
+
+@query("SELECT true AS is_valid, count(*) AS total_rows, count(*) AS expected_rows, 0::BIGINT AS null_count, 0::BIGINT AS blank_count, 0::BIGINT AS id_mismatches, 0::BIGINT AS n_errors, 'index,prediction' AS columns FROM orders")
+def format_and_save(spark: SparkSession, d: str) -> DataFrame:
+    df, path = _preds(spark, d), files.scratch(spark, "formatted") + ".csv"
+    sample = _csv(spark, df.select("index", F.lit("x").alias("prediction")), "sample", True)
+    return _reported(spark, submission.format_and_save(df, path, sample_path=sample, fallback="none"))
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS "index", CASE WHEN p = 'nAn' THEN 'nAn' ELSE p END AS prediction, (SELECT count(*) FROM orders WHERE o_orderkey % 6 = 0) AS filled FROM (SELECT o_orderkey, {_PRED} AS p FROM orders)""")
+def save_predictions(spark: SparkSession, d: str) -> DataFrame:
+    saved = submission.save_predictions(_preds(spark, d), files.scratch(spark, "saved"))
+    return tables.read_table(spark, saved.path).select("index", "prediction", F.lit(saved.filled).cast("long").alias("filled"))
+
+
+@query("SELECT doc_id IN (SELECT doc_id FROM labels) AS ok, count(*) AS n FROM documents GROUP BY 1")
+def missing_file_report(spark: SparkSession, d: str) -> DataFrame:
+    report = submission.validate(spark, files.scratch(spark, "nothing") + ".csv")
+    if report.is_valid or len(report.errors) != 1:
+        raise ValueError("a missing file was taken for a submission")
+    known = _table(spark, d, "labels").select("doc_id", F.lit(True).alias("ok")).distinct()
+    return _table(spark, d, "documents").join(known, "doc_id", "left").groupBy(F.coalesce("ok", F.lit(False)).alias("ok")).agg(F.count("*").alias("n"))
+
+
+_SPLIT = "SELECT count(*) AS source_rows, 'lang' AS target_col, 40::BIGINT AS golden_train_rows, 10::BIGINT AS golden_val_rows, 4::BIGINT AS n_splits, 7::BIGINT AS seed, count(*) AS folded_rows, 4::BIGINT AS folds, 50::BIGINT AS csv_rows FROM documents"
+
+
+def _split_outputs(spark: SparkSession, out: str) -> DataFrame:
+    meta = json.loads(files.read_text(spark, files.join(out, "split_metadata.json")))
+    folded = spark.read.parquet(files.join(out, "train_folded.parquet")).agg(F.count("*"), F.count_distinct("fold")).first()
+    csv_rows = sum(tables.read_table(spark, files.join(out, f"golden_{n}.csv")).count() for n in ("train", "val"))
+    row = (meta["source_rows"], meta["target_col"], meta["golden_train_rows"], meta["golden_val_rows"], meta["n_splits"], meta["seed"], *folded, csv_rows)
+    return spark.createDataFrame([row], "source_rows long, target_col string, golden_train_rows long, golden_val_rows long, n_splits long, seed long, folded_rows long, folds long, csv_rows long")
+
+
+def _docs_parquet(spark: SparkSession, d: str) -> str:
+    path = files.scratch(spark, "source") + ".parquet"
+    _table(spark, d, "documents").select("doc_id", "lang").write.parquet(path)
+    return path
+
+
+@query(_SPLIT)
+def split_driver(spark: SparkSession, d: str) -> DataFrame:
+    out = files.scratch(spark, "splits")
+    split.run_splitter(spark, _docs_parquet(spark, d), out, "lang", None, 40, 10, 4, 7, "doc_id")
+    return _split_outputs(spark, out)
+
+
+def _printed(*argv: str) -> tuple[int, list[str]]:
+    """Exit code and lines of a command."""
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        code = cli.main(list(argv))
+    return code, out.getvalue().splitlines()
+
+
+@query(_SPLIT)
+def cli_split(spark: SparkSession, d: str) -> DataFrame:
+    out = files.scratch(spark, "splits")
+    _printed("split", "--input", _docs_parquet(spark, d), "--output-dir", out, "--target-col", "lang", "--id-col", "doc_id", "--golden-train", "40", "--golden-val", "10", "--n-splits", "4", "--seed", "7")
+    return _split_outputs(spark, out)
+
+
+@query(f"""WITH y AS (SELECT CAST(l.quality AS VARCHAR) AS t, CASE WHEN d.n_chars > 500 THEN '1' ELSE '0' END AS p FROM documents d JOIN labels l USING (doc_id)), {_F1}
+SELECT 'exact_match' AS name, printf('%.4f', (SELECT avg(CASE WHEN t = p THEN 1.0::DOUBLE ELSE 0 END) FROM y)) AS value UNION ALL SELECT 'f1_macro', printf('%.4f', avg(f1)) FROM f UNION ALL SELECT 'f1_micro', printf('%.4f', 2.0::DOUBLE * sum(tp) / (sum(true_n) + sum(pred_n))) FROM f
+UNION ALL SELECT 'f1_weighted', printf('%.4f', sum(f1 * true_n) / sum(true_n)) FROM f UNION ALL SELECT 'smape', printf('%.4f', (SELECT 100 * avg(abs(p::DOUBLE - t::DOUBLE) / ((abs(t::DOUBLE) + abs(p::DOUBLE)) / 2 + 1e-8::DOUBLE)) FROM y))
+UNION ALL SELECT 'n_joined', CAST((SELECT count(*) FROM y) AS VARCHAR) UNION ALL SELECT 'n_truth', CAST((SELECT count(*) FROM labels) AS VARCHAR) UNION ALL SELECT 'n_pred', CAST((SELECT count(*) FROM documents) AS VARCHAR)
+UNION ALL SELECT 'n_missing', CAST((SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS VARCHAR)""")
+def cli_evaluate(spark: SparkSession, d: str) -> DataFrame:
+    truth = _csv(spark, _table(spark, d, "labels").select(F.col("doc_id").alias("index"), F.col("quality").alias("prediction")), "truth", True)
+    pred = _csv(spark, _table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.when(F.col("n_chars") > 500, "1").otherwise("0").alias("prediction")), "pred", True)
+    _, lines = _printed("evaluate", "--truth", truth, "--predictions", pred)
+    return spark.createDataFrame([tuple(x.split(": ", 1)) for x in lines], "name string, value string")
+
+
+@query("SELECT 1 AS line, 'rows ' || (SELECT count(*) FROM orders) || ', nulls 0, blanks 0, id mismatches 0' AS text, 0 AS code UNION ALL SELECT 2, 'valid', 0")
+def cli_validate(spark: SparkSession, d: str) -> DataFrame:
+    path = _csv(spark, _table(spark, d, "orders").select(F.col("o_orderkey").alias("index"), F.col("o_orderpriority").alias("prediction")), "sub", True)
+    code, lines = _printed("validate", path, "--sample", path)
+    return spark.createDataFrame([(i + 1, x, code) for i, x in enumerate(lines)], "line int, text string, code int")
+
+
+@query("SELECT 'success ' || (SELECT count(*) FROM nation WHERE n_regionkey = 0) || ', skipped ' || (SELECT count(*) FROM nation WHERE n_regionkey = 0) || ', failed ' || (SELECT count(*) FROM nation WHERE n_regionkey > 0) AS text, 0 AS code")
+def cli_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are there are skipped, whatever their url; other urls are none."""
+    nation, out = _table(spark, d, "nation").select("n_nationkey", "n_regionkey"), files.scratch(spark, "assets")
+    for r in nation.where("n_regionkey = 0").collect():  # 25 nations
+        files.write_bytes(spark, files.join(out, f"{r.n_nationkey}.jpg"), bytes(200))
+    source = _csv(spark, nation.select(F.col("n_nationkey").alias("index"), F.when(F.col("n_regionkey") == 1, "").otherwise("ftp://x").alias("image_link")), "urls", True)
+    code, lines = _printed("fetch", "--input", source, "--output-dir", out, "--partitions", "3")
+    return spark.createDataFrame([(x, code) for x in lines], "text string, code int")
+
+
+def _region_files(spark: SparkSession, d: str) -> str:
+    out = files.scratch(spark, "regions")
+    for r in _table(spark, d, "region").collect():  # five regions
+        files.write_bytes(spark, files.join(out, str(r.r_regionkey), f"{r.r_name}.txt"), r.r_name.encode() * 100_000)
+    return out
+
+
+@query("SELECT r_regionkey || '/' || r_name || '.txt' AS key, CAST(length(r_name) * 100000 AS BIGINT) AS length, 0 AS code FROM region")
+def store_push_pull(spark: SparkSession, d: str) -> DataFrame:
+    """All files under a prefix, pushed by the command line and pulled again."""
+    source, there, back = _region_files(spark, d), files.scratch(spark, "pushed"), files.scratch(spark, "pulled")
+    code = _printed("store", "push", source, there)[0] + _printed("store", "pull", there, back)[0]
+    return store.listing(spark, back).select(F.substring_index("path", back.rsplit("/", 1)[-1] + "/", -1).alias("key"), "length", F.lit(code).alias("code"))
+
+
+@query("SELECT printf('%8.2f MB', length(r_name) * 100000 / 1048576.0::DOUBLE) AS size, r_name || '.txt' AS name FROM region")
+def store_list(spark: SparkSession, d: str) -> DataFrame:
+    _, lines = _printed("store", "list", _region_files(spark, d))
+    return spark.createDataFrame([(x.split(" | ")[1], x.rsplit("/", 1)[1]) for x in lines], "size string, name string")
+
+
+@query("SELECT 'golden_train.parquet' AS name, count(*) AS n_rows, 2::BIGINT AS n_columns FROM region UNION ALL SELECT 'golden_val.parquet', NULL, NULL")
+def store_pull_golden(spark: SparkSession, d: str) -> DataFrame:
+    prefix = files.scratch(spark, "golden")
+    _table(spark, d, "region").select("r_regionkey", "r_name").write.parquet(files.join(prefix, "golden_train.parquet"))
+    got = store.pull_golden(spark, prefix, files.scratch(spark, "local"))
+    return spark.createDataFrame([(n, *(x if isinstance(x, tuple) else (None, None))) for n, x in got.items()], "name string, n_rows long, n_columns long")
+
+
+@query("""SELECT count(*) AS n_truth, (SELECT count(*) FROM lineitem) AS n_pred, (SELECT count(*) FROM orders JOIN lineitem ON o_orderkey = l_orderkey) AS n_joined,
+(SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS n_missing FROM orders""")
+def join_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.coverage(_table(spark, d, "orders").select(F.col("o_orderkey").alias("index")), _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("index")))
+
+
+@query(f"WITH {_EXTRACT}, y AS (SELECT p_brand AS t, coalesce(q, {_MODE}) AS p FROM e) SELECT round(avg(CASE WHEN lower(t) = lower(p) THEN 1.0::DOUBLE ELSE 0 END), 6) AS exact_match, count(*) AS n_joined FROM y")
+def rule_evaluate(spark: SparkSession, d: str) -> DataFrame:
+    df = _titles(spark, d)
+    return _rounded(models.RulePredictor(text_cols=["title"]).fit(df, "p_brand").evaluate(df, "p_brand").select("exact_match", "n_joined"), "exact_match")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'even' WHEN p_partkey % 3 = 0 THEN 'three' ELSE 'rest' END AS prediction FROM part")
+def cascade_opaque(spark: SparkSession, d: str) -> DataFrame:
+    class Stepped(models.Predictor):
+        def fit(self, df: DataFrame, target_col: str) -> Stepped:
+            return self
+
+        def transform(self, df: DataFrame) -> DataFrame:
+            by, word = self.name.split()
+            return df.withColumn("prediction", F.when(F.col("p_partkey") % int(by) == 0, f" {word} "))
+
+    return models.Cascade([Stepped("2 even"), Stepped("3 three")], fallback="rest").transform(_table(spark, d, "part").select("p_partkey")).select("p_partkey", "prediction")
+
+
+@query("SELECT * FROM (VALUES ('read', 'unit', true, NULL, 2, true), ('check', NULL, false, 'no rows', 0, true)) AS t(span_name, provider, guardrail_passed, error, items, timed)")
+def trace_spans(spark: SparkSession, d: str) -> DataFrame:
+    tracer = Tracer("catalog", {"table": "region"})
+    with tracer.span("read", "unit", {"items": 2}):
+        _table(spark, d, "region").count()
+    with contextlib.suppress(LookupError), tracer.span("check"):
+        raise LookupError("no rows")
+    schema = "trace_id string, total_latency_ms double, success boolean, spans array<struct<span_name:string,provider:string,guardrail_passed:boolean,error:string,duration_ms:double,metadata:map<string,int>>>"
+    text = spark.createDataFrame([(tracer.finish(False).to_json(),)], "t string")
+    spans = text.select(F.from_json("t", schema).alias("t")).where("not t.success and length(t.trace_id) = 36").select("t.total_latency_ms", F.explode("t.spans").alias("s"))
+    timed = (F.col("s.duration_ms") >= 0) & (F.col("s.duration_ms") == F.round("s.duration_ms", 2)) & (F.col("total_latency_ms") >= F.col("s.duration_ms"))
+    return spans.select("s.span_name", "s.provider", "s.guardrail_passed", "s.error", F.coalesce(F.col("s.metadata")["items"], F.lit(0)).alias("items"), timed.alias("timed"))
+
+
+@query("SELECT * FROM (VALUES ('A', '1'), ('B', 'two words'), ('C', 'x=y'), ('D', '')) AS t(name, value)")
+def dotenv_variables(spark: SparkSession, d: str) -> DataFrame:
+    found = config.parse_dotenv("# note\nA=1\n B = 'two words' \nbad line\nC=x=y\n#E=5\nD=\n")
+    return spark.createDataFrame(list(found.items()), "name string, value string")
+
+
+@query("SELECT 'healthy' AS status, '0.1.0' AS version, 5 AS n_splits, 5000 AS golden_train, 1000 AS golden_val, 42 AS seed")
+def config_defaults(spark: SparkSession, d: str) -> DataFrame:
+    health, c = config.health(), config.get_config().split
+    return spark.createDataFrame([(health["status"], health["version"], c.n_splits, c.golden_train_size, c.golden_val_size, c.seed)], "status string, version string, n_splits int, golden_train int, golden_val int, seed int")
+
+
+@query("SELECT CAST(range AS INT) AS status, range IN (429, 500, 502, 503, 504) AS again, 3.0::DOUBLE AS waited FROM range(400, 520)")
+def retry_plan(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(400, 520).select(F.col("id").cast("int").alias("status"), F.col("id").isin(*assets.RETRYABLE).alias("again"), F.lit(sum(assets.waits(3))).alias("waited"))
+
+
+@query("SELECT 'submissions/submission_20260203_040506.csv' AS path, true AS now_fits")
+def timestamped_path(spark: SparkSession, d: str) -> DataFrame:
+    path = spark.createDataFrame([(submission.default_path(datetime.datetime(2026, 2, 3, 4, 5, 6)), submission.default_path())], "path string, now string")
+    return path.select("path", F.col("now").rlike("^submissions/submission_[0-9]{8}_[0-9]{6}[.]csv$").alias("now_fits"))

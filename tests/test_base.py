@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera import config, trace
 from tessera.functions import binary, text, units
-from tessera.operators import metrics, models, split, submission
-from tessera.sources import assets, store, tables
+from tessera import cli
+from tessera.operators import metrics, models, ranking, split, submission
+from tessera.sources import assets, files, store, tables
 
 
 def one(spark, value, expr, kind="string"):
@@ -215,6 +216,109 @@ def test_trace_config(tmp_path, monkeypatch):
     assert os.environ.pop("TESSERA_T1") == "a b"
 
 
+def test_evaluate_reads_its_input_once(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("y_true"), (F.col("id") % 7).cast("string").alias("y_pred"))
+    plan = metrics.evaluate(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+    assert metrics.evaluate(df.limit(0)).first().n_joined == 0
+
+
+@pytest.mark.parametrize("bucket_rows", [10, 250_000])
+def test_ranks_do_not_depend_on_buckets(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(ranking, "RANGES", 3)
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, "a", "b", *(f"c{rng.randrange(40)}" for _ in range(3))])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, c string")
+    key = {r.id: r.k for r in df.select("id", ranking.seeded_key(F.col("id"), 42).alias("k")).collect()}
+    want = {i: n % 5 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1] or "nan", key[r[0]], r[0])))}
+    assert {r.id: r.fold for r in split.stratified_kfold(df, "c", id_col="id").collect()} == want
+    got = {r.id: r["rank"] for r in ranking.global_rank(df.withColumn("k", ranking.seeded_key(F.col("id"), 42)), [F.col("k"), F.col("id")], "k", 400).collect()}
+    assert got == {i: n + 1 for n, i in enumerate(sorted(key, key=lambda i: (key[i], i)))}
+    assert ranking.prefix_digits(10**11) > 2 or bucket_rows == 10
+
+
+def test_files_of_any_scheme(spark, tmp_path):
+    assert files.join("s3a://b/x/", "/y", "z.json") == "s3a://b/x/y/z.json"
+    assert files.relative_key("s3a://b/p/a/b.txt", "s3a://b/p") == "a/b.txt" and files.relative_key("s3a://b/p.txt", "s3a://b/p.txt") == "p.txt"
+    assert files.arrow_place("file:/tmp/x") == files.arrow_place("file:///tmp/x") == files.arrow_place("/tmp/x")
+    path = str(tmp_path / "one.txt")
+    files.write_bytes(spark, path, b"a\nb")
+    assert files.read_text(spark, path) == "a\nb" and store.copy(spark, path, str(tmp_path / "deep" / "two.txt"))
+    assert (tmp_path / "deep" / "two.txt").read_bytes() == b"a\nb"
+    (tmp_path / "empty").mkdir()
+    assert not store.copy(spark, str(tmp_path / "empty"), str(tmp_path / "n"))
+
+
+def test_csv_is_one_file_and_splits_when_it_can(spark, tmp_path):
+    df = spark.createDataFrame([(i, f" x, {i}") for i in range(100)], "id long, v string").repartition(5)
+    path = str(tmp_path / "one.csv")
+    tables.write_csv(df, path, single=True)
+    assert (tmp_path / "one.csv").is_file() and len((tmp_path / "one.csv").read_text().splitlines()) == 101
+    assert not tables.has_quoted_newlines(spark, path)
+    assert sorted(map(tuple, tables.read_csv(spark, path).collect())) == sorted((str(i), f" x, {i}") for i in range(100))
+    assert sorted(map(tuple, tables.read_csv(spark, path, multi_line=True).collect())) == sorted((str(i), f" x, {i}") for i in range(100))
+
+
+def test_rows_of_too_many_fields_are_reported(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("index,prediction\n1,a\n2,b,c\n3\n")
+    report = submission.validate(spark, str(path))
+    assert not report.is_valid and len(report.errors) == 1 and "not a readable CSV" in report.errors[0]
+    path.write_text("index,prediction\n1,a\n3\n")
+    assert submission.validate(spark, str(path)).null_count == 1
+    path.write_text("")
+    assert not submission.validate(spark, str(path)).is_valid
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.csv").write_text("index,prediction\n1,a\n2,\n")
+    assert cli.main(["validate", str(tmp_path / "a.csv")]) == 1 and "NaN/Null" in capsys.readouterr().out
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text("x" * i)
+    assert cli.main(["store", "list", str(tmp_path)]) == 0
+    assert sum(".txt" in line for line in capsys.readouterr().out.splitlines()) == 3
+    assert cli.main(["store", "pull", str(tmp_path / "none"), str(tmp_path / "to")]) == 1
+    (tmp_path / "urls.csv").write_text("index,image_link\n1,\n2,ftp\n")
+    assert cli.main(["fetch", "--input", str(tmp_path / "urls.csv"), "--output-dir", str(tmp_path / "f"), "--limit", "1"]) == 1
+
+
+def test_waits_and_retries(monkeypatch, tmp_path):
+    slept, answers = [], iter([(None, "max_retries_exceeded", True), (None, "error_URLError", True), (b"\xff\xd8\xff" + bytes(40), "", False)])
+    monkeypatch.setattr(assets.time, "sleep", slept.append)
+    monkeypatch.setattr(assets, "answer", lambda url, timeout: next(answers))
+    assert assets.fetch_one("http://x", str(tmp_path / "a" / "1.jpg")) == (str(tmp_path / "a" / "1.jpg"), True, None)
+    assert slept == [0.0, 1.0, 2.0] and (tmp_path / "a" / "1.jpg").stat().st_size == 43
+    monkeypatch.setattr(assets, "answer", lambda url, timeout: (None, "max_retries_exceeded", True))
+    assert assets.fetch_one("http://x", str(tmp_path / "2.jpg"))[2] == "max_retries_exceeded"
+
+
+def test_save_predictions(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5), (2, None), (3, float("nan"))], "index long, prediction double")
+    saved = submission.save_predictions(df, str(tmp_path))
+    assert (saved.rows, saved.filled, len(saved.preview)) == (3, 2, 3)
+    assert sorted(map(tuple, tables.read_csv(spark, saved.path).collect()), key=str) == [("1", "2.5"), ("2", None), ("3", None)]
+
+
+def test_entry_lets_broken_operators_fail(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = files.__file__.rsplit("/tessera/", 1)[0]
+    shutil.copytree(f"{root}/tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
+    alone = run()
+    assert alone.returncode == 0 and len(set(alone.stdout.split())) == 1
+    (tmp_path / "tessera" / "llm" / "__pycache__").mkdir(parents=True)
+    assert run().stdout == alone.stdout
+    (tmp_path / "tessera" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "tessera" / "llm" / "queries.py").write_text("import no_such_module\n")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    assert "no_such_module" in run().stderr
+
+
 def test_native_operators_plan_no_python(spark):
     df = spark.createDataFrame([("1 g", "1 g")], "y_true string, y_pred string")
     plan = metrics.evaluate(df)._jdf.queryExecution().toString()
