@@ -40,9 +40,11 @@ STATES, SYMBOLS, CLASSES, LISTED, LISTED_BYTES = 8, 20_000, 512, 250_000, 64
 SEED_DOCS, SEED_WORDS, SEED_ROUNDS = 1200, 20_000, 15
 TOLERANCE, MOST_ROUNDS = 0.002, 8
 SMOOTH = 0.1
-BATCH_WORDS = 300_000
+BATCH_WORDS = 150_000
+#: Bytes of text that are read at once.
+PORTION = 2 << 20
 #: Distinct words that a task counts before it hands them on.
-COUNTED = 400_000
+COUNTED = 200_000
 #: Rows of the join of rare words in a partition, about.
 JOINED = 1_000_000
 FACTS = "held_out boolean, n_tokens long, known long, base double, share double, symbols array<int>, words array<binary>, times array<int>"
@@ -78,7 +80,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         waiting: list[pa.Table] = []
         for whole in found:
-            for batch in portions(whole, 0):
+            for batch in portions(whole, 0, PORTION):
                 words, at, _ = cut(batch.column(0))
                 n = np.bincount(at, minlength=len(words))
                 some = np.flatnonzero(n)
@@ -306,7 +308,7 @@ def scored(docs: DataFrame, train_on: DataFrame | None = None) -> DataFrame:
         m = given.value
         m.ready()
         for whole in found:
-            for batch in portions(whole, 2):
+            for batch in portions(whole, 2, PORTION):
                 facts = m.read(batch.column(2))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *facts.values()], names=["doc_id", "held_out", *facts])
 
@@ -321,10 +323,11 @@ def scored(docs: DataFrame, train_on: DataFrame | None = None) -> DataFrame:
 
     def score(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = trained.value
-        for batch in found:
-            chain = m.score(sequences_of(batch.column("symbols")))
-            out = batch.drop_columns(["symbols"])
-            yield out.append_column("chain", pa.array(chain, pa.float64()))
+        for whole in found:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                chain = m.score(sequences_of(batch.column("symbols")))
+                yield batch.drop_columns(["symbols"]).append_column("chain", pa.array(chain, pa.float64()))
 
     kept = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "share"]
     rows = facts.select(*kept, "symbols").mapInArrow(score, f"row long, {key}, " + ", ".join(f for f in FACTS.split(", ") if f.split()[0] in kept) + ", chain double")

@@ -24,6 +24,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_WORDS = 400_000
 #: Bytes of text in a portion, unless a single text has more; a portion's words are numbered together.
 PORTION_BYTES = 4 << 20
+# Workers live on between tasks: what a batch needed goes back to the system, not to a pool.
+pa.set_memory_pool(pa.system_memory_pool())
 #: Letters whose lower case is a Latin-1 letter, then ASCII punctuation but for the apostrophe.
 _CORE = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-þ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
