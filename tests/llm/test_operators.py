@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, common, components, crf, decontaminate, hmm, kneser_ney, neardup, packing, repair, rule_ensemble, simhash, tokens, url_filter
@@ -36,6 +37,11 @@ def odd(spark):
     return spark.createDataFrame([(i, t, None if i == 3 else "en", "s", 1, *(f"{c} of {n}" for c in own)) for n, (i, t) in enumerate(rows)], DOC + "".join(f", {c} string" for c in own))
 
 
+@pytest.fixture(scope="module")
+def op9(spark):
+    return {r.doc_id: r for r in kneser_ney.op9_kneser_ney_quality(spark, DATA).collect()}
+
+
 def clusters(n, links):
     parent = list(range(n))
 
@@ -231,6 +237,48 @@ def test_components_of_a_long_chain(spark):
     assert {r.root for r in components.connected_components(links).collect()} == {0}
 
 
+@pytest.mark.parametrize("contracted", [40, 1_000_000])
+def test_components_with_hubs_repeats_and_nulls(spark, monkeypatch, contracted):
+    monkeypatch.setattr(components, "SALT_ROWS", 16)
+    monkeypatch.setattr(components, "CONTRACTED", contracted)
+    rng = random.Random(8)
+    # Nodes over the whole range of a long, so that sums of their hashes would overflow; one hub, chains, repeats.
+    nodes = [rng.randrange(-(2**63), 2**63) for _ in range(600)]
+    links = [(nodes[0], n) for n in nodes[1:200]] + list(itertools.pairwise(nodes[200:260])) + [tuple(rng.sample(nodes[260:], 2)) for _ in range(150)]
+    links += links[:50] + [(nodes[5], nodes[5]), (None, nodes[1]), (nodes[2], None)]
+    place = {n: i for i, n in enumerate(sorted(nodes))}
+    roots = clusters(len(nodes), [(place[a], place[b]) for a, b in links if a is not None and b is not None])
+    linked = {n for a, b in links if a is not None and b is not None and a != b for n in (a, b)}
+    got = components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()
+    assert len(got) == len(linked) and {r.node: r.root for r in got} == {n: sorted(nodes)[roots[place[n]]] for n in linked}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_op2_fingerprints_against_definition(spark, docs):
+    table = common.table(spark, DATA, "documents")
+    got = {r.doc_id: r.f for r in table.select("doc_id", simhash.hex_of(simhash.fingerprint(F.col("text"))).alias("f")).collect()}
+    for i, t in docs[::7]:
+        words = t.encode().lower().split()
+        shingles = [b" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+        votes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+        assert int(got[i], 16) == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in votes) > len(votes))
+
+
+def test_op2_blocks_of_one_list(spark, monkeypatch):
+    """A posting list of many blocks: every link across and inside blocks is found, whatever the size of a block."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = {b ^ sum(1 << k for k in rng.sample(range(24), rng.randint(0, 2))) for b in base for _ in range(9)} | {0, 2**64 - 1}
+    signed = sorted(f - 2**64 if f >= 2**63 else f for f in fps)
+    near = [(i, j) for i, j in combinations(range(len(signed)), 2) if ((signed[i] ^ signed[j]) & (2**64 - 1)).bit_count() <= 4]
+    want = clusters(len(signed), near)
+    for block, salts in ((3, 1), (1024, 5)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        links = simhash.linked(spark.createDataFrame([(f,) for f in signed], "fp long"), salts).collect()
+        place = {f: i for i, f in enumerate(signed)}
+        assert clusters(len(signed), [(place[r.a], place[r.b]) for r in links]) == want
+
+
 def test_near_duplicates_against_all_pairs(spark, docs, odd):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for _, t in docs)]
     where = defaultdict(list)
@@ -664,8 +712,14 @@ def test_op8_scores_against_python(spark, monkeypatch, most):
     side = {g: [mean_ratio(t, ratios) for t, good in ruled if held(t) and good == g] for g in (True, False)}
     (ga, sa), (gb, sb) = ((np.mean(x), np.std(x)) for x in (side[True], side[False]))
     threshold = (ga * sb + gb * sa) / (sa + sb)
+    fits = lambda name, start: f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{start}')"
+    sql = {i: tuple(x) for i, *x in duckdb.sql(f"""WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_replace(url, '^.*?://', '') ELSE '' END AS rest FROM '{DATA}/pages.parquet'),
+    q AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p)
+    SELECT page_id, host, path, CASE WHEN {fits('example.net', '/en/')} THEN 'example.net/en/' WHEN {fits('example.com', '/de/')} THEN 'example.com/de/' WHEN {fits('org', '/fr/')} THEN 'org/fr/' WHEN {fits('net', '/')} THEN 'net/' END FROM q""").fetchall()}
     checked = 0
     for r in out:
+        if r.rule is not None or r.path:
+            assert sql[r.page_id] == (r.host, r.path, r.rule)
         host = re.match(r"[^/?#]*", urls[r.page_id].split("://", 1)[1])[0].lower() if "://" in (urls[r.page_id] or "") else ""
         assert r.host == host
         if r.rule is None and spell(urls[r.page_id]):
@@ -749,9 +803,25 @@ def kneser_ney_in_python(texts):
     return p
 
 
-def test_op9_verdicts_against_python(spark):
+def test_op9_counts_against_sql(op9):
+    """All counts of the query's word rules on whole tables, by SQL."""
+    sql = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM '{DATA}/documents.parquet'),
+    w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, t FROM d),
+    l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+    g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+    r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+    c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY 1)
+    SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)"""
+    want = {r[0]: tuple(map(int, r[1:])) for r in duckdb.sql(sql).fetchall()}
+    got = op9
+    assert {i: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for i, r in got.items()} == want
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in got.values())
+
+
+def test_op9_verdicts_against_python(op9):
     rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{DATA}/documents.parquet'").fetchall()
-    got = {r.doc_id: r for r in kneser_ney.op9_kneser_ney_quality(spark, DATA).collect()}
+    got = op9
     lang = Counter(x for _, _, x in rows).most_common()[-1][0]
     p, checked = kneser_ney_in_python([t.encode() for _, t, x in rows if x == lang]), 0
     for i, t, x in rows:
@@ -773,7 +843,7 @@ def test_op9_verdicts_against_python(spark):
             assert r.kept == (not r.base_failed and not outside)
 
 
-def test_op9_bands_reject_junk(spark):
+def test_op9_bands_reject_junk(spark, op9):
     rng = np.random.default_rng(0)
     clean, junk = rng.normal(0.7, 0.01, 300).tolist(), rng.normal(0.8, 0.005, 60).tolist()
     rows = [("en", (60, v)) for v in clean + junk + [0.71] * 2000] + [("fr", (60, 0.5)), ("fr", (60, 0.9))]
@@ -782,8 +852,8 @@ def test_op9_bands_reject_junk(spark):
     found = measured.select("lang", F.col("quality.log_perplexity").alias("v"), F.coalesce(F.col("quality.log_perplexity").between(low, high), F.lit(True)).alias("kept")).collect()
     assert not any(r.kept for r in found if r.lang == "en" and r.v > 0.78)
     assert sum(r.kept for r in found if r.lang == "en" and r.v < 0.75) >= 2295 and all(r.kept for r in found if r.lang == "fr")
-    judged = kneser_ney.op9_kneser_ney_quality(spark, DATA).join(common.table(spark, DATA, "labels"), "doc_id").where("not base_failed").collect()
-    share = {q: np.mean([r.kept for r in judged if r.quality == q]) for q in (0, 1)}
+    labels = duckdb.sql(f"SELECT doc_id, quality FROM '{DATA}/labels.parquet'").fetchall()
+    share = {q: np.mean([op9[i].kept for i, label in labels if label == q and not op9[i].base_failed]) for q in (0, 1)}
     assert share[0] < 0.3 and share[1] > 0.97
 
 
@@ -815,15 +885,13 @@ def test_pipeline_on_odd_rows_and_empty_tables(spark, odd, tmp_path):
             table = common.table(spark, DATA, name)
             (table if folder == "odd" else table.limit(0)).write.parquet(str(tmp_path / folder / f"{name}.parquet"))
     given = common.table(spark, str(tmp_path / "odd"), "documents").collect()
-    for folder in ("odd", "none"):
-        docs = common.table(spark, str(tmp_path / folder), "documents")
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            after = common.materialize(stage(spark, docs, str(tmp_path / folder)), "t")
-            assert after.columns == docs.columns and all(r in given for r in after.collect())
-            if folder == "odd":
-                assert 0 < after.count() <= docs.count()
-            # Every stage also takes the odd rows themselves, whatever stages before it would have dropped.
-            alone = stage(spark, odd.limit(0) if folder == "none" else odd, str(tmp_path / folder))
-            assert alone.columns == odd.columns and all(r in given for r in alone.collect())
-            docs = after
-        assert corpus_pipeline.run(spark, str(tmp_path / folder)).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    docs = common.table(spark, str(tmp_path / "odd"), "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = common.materialize(stage(spark, docs, str(tmp_path / "odd")), "t")
+        assert after.columns == docs.columns and 0 < after.count() <= docs.count() and all(r in given for r in after.collect())
+        # Every stage also takes the odd rows themselves, whatever stages before it would have dropped.
+        alone = stage(spark, odd, str(tmp_path / "odd"))
+        assert alone.columns == odd.columns and all(r in given for r in alone.collect())
+        docs = after
+    assert corpus_pipeline.pack(spark, odd, "").count() >= odd.count()
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
