@@ -67,7 +67,7 @@ def with_least(pairs: DataFrame, salts: int) -> DataFrame:
     """pairs (u, v) with m, the least v of each u."""
     salted = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)))
     least = salted.groupBy("u", "s").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))
-    return salted.join(least.select("u", "m", F.explode("s").alias("s")), ["u", "s"]).select("u", "v", "m")
+    return common.meet(salted, least.select("u", "m", F.explode("s").alias("s")), ["u", "s"]).select("u", "v", "m")
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -97,7 +97,7 @@ def keep_one_of_each_group(docs: DataFrame, words: int = WORDS, least: float = S
     buckets = common.materialize(_buckets(nodes, salts), "buckets")
     pairs = common.materialize(_candidates(buckets), "pairs")
     # One text for each node that has a candidate, found by (doc_id, node): no copies of a frequent text meet in a task.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
+    wanted = common.meet(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes.select("node", "first"), "node")
     texts = common.materialize(_at(docs, wanted).select(F.col("_node").alias("node"), F.col("_row.text").cast("string").alias("text")), "texts")
     left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     # The first text of a bucket may be in very many pairs, on either side.
@@ -108,7 +108,7 @@ def keep_one_of_each_group(docs: DataFrame, words: int = WORDS, least: float = S
     rest = common.materialize(_rest(buckets, roots, texts, words, least, salts), "rest")
     common.remove(spark, roots)
     roots = connected_components(checked.unionByName(rest))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = common.meet(nodes, roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), F.col("first"), F.col("node"))).alias("k")).select("k.first", "k.node")
     kept = common.materialize(kept, "kept")
     for done in (nodes, buckets, pairs, texts, checked, rest, roots):
@@ -128,7 +128,7 @@ def _at(docs: DataFrame, places: DataFrame) -> DataFrame:
     as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
     given = docs.select(as_text("doc_id"), _node(F.col("text")).alias("_node"), F.struct("*").alias("_row"))
     places = places.select(as_text("first"), F.col("node").alias("_node"))
-    return given.join(places, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
+    return common.meet(given, places, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
 
 
 def _buckets(nodes: DataFrame, salts: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _buckets(nodes: DataFrame, salts: int) -> DataFrame:
     fps = nodes.select("fp").distinct()
     roots = connected_components(simhash.linked(fps, salts)).withColumnRenamed("node", "fp")
     # Texts of one fingerprint may be many: they find their root in salted parts.
-    by_root = common.attach(nodes.select("fp", "node", "first"), fps.join(roots, "fp", "left"), "fp", F.col("node"), salts)
+    by_root = common.attach(nodes.select("fp", "node", "first"), common.meet(fps, roots, "fp", "left"), "fp", F.col("node"), salts)
     by_fp = by_root.select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "node", "first")
     members = nodes.select(F.explode("keys").alias("key"), "node", "first").unionByName(by_fp)
     crowded = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -160,7 +160,7 @@ def _candidates(buckets: DataFrame) -> DataFrame:
 
 def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame, words: int, least: float, salts: int) -> DataFrame:
     """Links (a, b) that connect the nodes of each bucket, given their roots, as all its similar pairs would."""
-    members = buckets.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = common.meet(buckets.select("key", "node"), roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     same = [F.count("*").alias("size"), *(F.bit_xor(F.xxhash64(F.lit(i), F.col("node"))).alias(f"x{i}") for i in range(2))]
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *same).where("lo <> hi")
     # Buckets of the same nodes, told by size and two hashes, are verified once.
@@ -169,7 +169,7 @@ def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame, words: int, le
     placed = common.attach(members, mixed, "key", F.col("node"), salts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     block = F.least("own", "other") * F.col("n") + F.greatest("own", "other")
-    placed = placed.select("key", block.alias("block"), "own", "node", "root").join(texts, "node")
+    placed = common.meet(placed.select("key", block.alias("block"), "own", "node", "root"), texts, "node")
 
     def links(group: pa.Table) -> pa.Table:
         own, node, root = (group.column(c).to_numpy() for c in ("own", "node", "root"))

@@ -279,6 +279,20 @@ def test_op2_blocks_of_one_list(spark, monkeypatch):
         assert clusters(len(signed), [(place[r.a], place[r.b]) for r in links]) == want
 
 
+@pytest.fixture
+def never_broadcast(monkeypatch):
+    """Fails where a table is written by a plan that gathers a side of a join on the driver."""
+    written, write = [], common.materialize
+
+    def watched(df, label):
+        written.append(label)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString(), label
+        return write(df, label)
+
+    monkeypatch.setattr(common, "materialize", watched)
+    return written
+
+
 def test_near_duplicates_against_all_pairs(spark, docs, odd):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for _, t in docs)]
     where = defaultdict(list)
@@ -300,6 +314,12 @@ def test_near_duplicates_against_all_pairs(spark, docs, odd):
     assert sorted((r.doc_id is None, r.doc_id) for r in got.select("doc_id").collect()) == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 7), (True, None)]
 
 
+def test_near_duplicates_join_tables_that_grow_without_the_driver(spark, never_broadcast):
+    kept = neardup.keep_one_of_each_group(common.table(spark, DATA, "documents"))
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert {"buckets", "pairs", "texts", "checked", "rest", "links", "kept"} <= set(never_broadcast)
+
+
 def test_near_duplicates_of_interleaved_template_families(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8, raising=False)
     rng = random.Random(5)
