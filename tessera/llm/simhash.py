@@ -177,7 +177,7 @@ def components_by_fingerprint(docs: DataFrame, words: int = 4) -> DataFrame:
     rows, (n_rows, *_) = common.materialize_with_sums(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
     nodes, (n_nodes, *_) = common.materialize_with_sums(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     roots = connected_components(linked(nodes.select("fp"), 1 + n_nodes // SALT_ROWS))
-    rooted = common.materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    rooted = common.materialize(common.meet(nodes, roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     common.remove(spark, nodes)
     common.remove(spark, roots)
     labels = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -293,6 +293,12 @@ def never_broadcast(monkeypatch):
     return written
 
 
+def test_op2_joins_tables_that_grow_without_the_driver(spark, never_broadcast):
+    found = simhash.op2_simhash_near_dedup(spark, DATA)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {"fingerprints", "links", "roots"} <= set(never_broadcast)
+
+
 def test_near_duplicates_against_all_pairs(spark, docs, odd):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for _, t in docs)]
     where = defaultdict(list)
