@@ -134,7 +134,10 @@ def _at(docs: DataFrame, places: DataFrame) -> DataFrame:
 def _buckets(nodes: DataFrame, salts: int) -> DataFrame:
     """(key, node, first, size) of all buckets of two nodes or more: bands, and components of SimHash links."""
     fps = nodes.select("fp").distinct()
-    roots = connected_components(simhash.linked(fps, salts)).withColumnRenamed("node", "fp")
+    # Written first: a task that links and contracts at once holds two Python workers.
+    links = common.materialize(simhash.linked(fps, salts), "linked")
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    common.remove(fps.sparkSession, links)
     # Texts of one fingerprint may be many: they find their root in salted parts.
     by_root = common.attach(nodes.select("fp", "node", "first"), common.meet(fps, roots, "fp", "left"), "fp", F.col("node"), salts)
     by_fp = by_root.select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "node", "first")

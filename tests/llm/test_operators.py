@@ -326,6 +326,30 @@ def test_near_duplicates_join_tables_that_grow_without_the_driver(spark, never_b
     assert {"buckets", "pairs", "texts", "checked", "rest", "links", "kept"} <= set(never_broadcast)
 
 
+def test_near_duplicates_hold_one_python_worker_a_task(spark, monkeypatch):
+    plans, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, label: (plans.append((label, df._jdf.queryExecution().executedPlan().toString())), write(df, label))[1])
+    neardup.keep_one_of_each_group(common.table(spark, "/root/testdata/sf0.001", "documents"))
+    assert "links" in dict(plans) and not [label for label, plan in plans if plan.count("MapInArrow") > 1]
+
+
+def test_pipeline_stages_bound_arrow_batches(spark):
+    import corpus_pipeline
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(setting)
+        stage(spark, docs, "/root/testdata/sf0.001")
+        assert spark.conf.get(setting) == str(common.BATCH_BYTES)
+    sizes = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).alias("text")).mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([x.nbytes], pa.int64())}) for x in batches), "n long")
+    assert max(r.n for r in sizes.collect()) < common.BATCH_BYTES + (1 << 19)
+    spark.conf.set(setting, "1m")
+    corpus_pipeline.pack(spark, docs, "/root/testdata/sf0.001")
+    assert spark.conf.get(setting) == "1m"  # a caller's smaller one stays
+    spark.conf.unset(setting)
+
+
 def test_near_duplicates_of_interleaved_template_families(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8, raising=False)
     rng = random.Random(5)
